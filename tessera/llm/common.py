@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters outside ASCII white space; bytes.split() finds the same runs in UTF-8.
@@ -65,3 +65,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     """The columns that an operator reads, so that other columns, whatever their names, never meet its own."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows: int = 4000) -> DataFrame:
+    """df with __rank, the place (from 0) of each row within its `group`, however many rows a group has.
+
+    Rows are dealt into buckets of about `bucket_rows` of the largest group by a hash of `order`; the counts of
+    the buckets, summed in two levels, give where each bucket starts, and rows are numbered inside a bucket.
+    Rows alike in `order` may swap places, so they should be alike in all that is kept. df must be a fixed table.
+    """
+    buckets = max(1, n_rows // bucket_rows)
+    wide = max(1, int(buckets**0.5))
+    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    counts = keyed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__span", F.expr(f"__bucket div {wide}"))
+    spans = counts.groupBy(group, "__span").agg(F.sum("__n").alias("__m"))
+
+    def before(total: str, *keys: str) -> Column:
+        over = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(total).over(over), F.lit(0))
+
+    spans = spans.select(group, "__span", before("__m", group, "__span").alias("__first"))
+    starts = counts.withColumn("__inside", before("__n", group, "__span", "__bucket")).join(spans, [group, "__span"])
+    starts = starts.select(group, "__bucket", (F.col("__first") + F.col("__inside")).alias("__start"))
+    local = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(*order)) - 1
+    placed = keyed.withColumn("__local", local).join(starts, [group, "__bucket"])
+    return placed.withColumn("__rank", F.col("__start") + F.col("__local")).drop("__bucket", "__local", "__start")
+
+
+def sample_by_class(rows: DataFrame, per_class: int, most_classes: int = 256):
+    """label and text of about `per_class` rows of each `label`, drawn by a hash of doc_id, as pandas.
+
+    rows: doc_id, text, label. A class is thinned by the share that leaves per_class of it on average; the
+    `most_classes` most frequent labels take part. The sample's size doesn't grow with the table. Its attribute
+    `rows` has the number of rows of each label in the whole table.
+    """
+    counted = rows.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.orderBy(F.desc("n"), "label").limit(most_classes).collect()
+    if not counts:
+        return rows.select("label", "text").limit(0).toPandas()
+    scale = 1 << 40
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(scale, scale * per_class // r["n"]))))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < shares[F.col("label")])
+    sample = drawn.select("label", "text").toPandas().sort_values(["label", "text"], ignore_index=True)
+    sample.attrs["rows"] = {r["label"]: r["n"] for r in counts}
+    return sample
