@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, simhash, toxicity
+from . import bpe, crf, logbilinear, mih, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -36,7 +36,22 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.languages(table(spark, sf_dir, "documents"))
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op8_log_bilinear": op8_log_bilinear,
     "op2_toxicity": op2_toxicity,
     "op6_simhash": op6_simhash,
     "op7_best_fit_packing": op7_best_fit_packing,
