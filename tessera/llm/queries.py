@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, logbilinear, mih, packing, quality, sharding, simhash, toxicity
+from . import bpe, crf, licences, logbilinear, mih, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -48,7 +48,20 @@ def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.expr(licences.PATH).alias("path"), "text")
+    return licences.scan(files).withColumnRenamed("file_id", "doc_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top, beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op9_licences": op9_licences,
     "op1_language_crf": op1_language_crf,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op8_log_bilinear": op8_log_bilinear,
@@ -61,5 +74,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_licences": licences.oracle_sql(),
     "op3_quality_rules": quality.oracle_sql(),
 }
