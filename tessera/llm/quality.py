@@ -8,7 +8,8 @@ the verdicts don't either.
 
 A rule's bounds are the group's median plus or minus a multiple of its lower spread (median less lower
 quartile, which a minority of bad texts doesn't move), and never tighter than a tolerance. Groups with fewer
-texts than `min_group` take the bounds of their language, and small languages those of the corpus.
+texts than `min_group` take the bounds of their language, and languages with fewer than a tenth of that those
+of the corpus.
 
 Null text: no words, base_failed. Null language or source: the group of the empty name. Repeated rows each
 count. An empty table gives an empty result.
@@ -134,7 +135,7 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     fine = _quantiles(sketch, ["__lang", "__source"])
     mid = _quantiles(sketch, ["__lang"]).select("__lang", "rule", *(F.col(c).alias(f"m_{c}") for c in ("total", "q25", "q50")))
     top = _quantiles(sketch, []).select("rule", F.col("q25").alias("t_q25"), F.col("q50").alias("t_q50"))
-    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("m_total") >= min_group, F.col(f"m_{c}")).otherwise(F.col(f"t_{c}"))
+    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("m_total") >= min_group // 10, F.col(f"m_{c}")).otherwise(F.col(f"t_{c}"))
     chosen = fine.join(mid, ["__lang", "rule"]).join(top, "rule").select("__lang", "__source", "rule", pick("q25").alias("q25"), pick("q50").alias("q50"))
     bounds = []
     for k, r in enumerate(RULES):
@@ -188,7 +189,7 @@ def oracle_sql() -> str:
 {name}_c as (select {keys}rule, value, sum(n) over (partition by {keys}rule order by value) as upto, sum(n) over (partition by {keys}rule) as total from {name}_n),
 {name} as (select {keys}rule, max(total) as total, min(case when upto * 4 >= total then value end) as q25, min(case when upto * 4 >= total * 2 then value end) as q50 from {name}_c group by {keys}rule)""")
     rates = " union all ".join(f"select rid, lang, source, {k} as rule, {r.of} * 1000 // greatest({r.per}, 1) as rate from marked" for k, r in enumerate(RULES))
-    pick = lambda c: f"case when fine.total >= {MIN_GROUP} then fine.{c} when mid.total >= {MIN_GROUP} then mid.{c} else top.{c} end"
+    pick = lambda c: f"case when fine.total >= {MIN_GROUP} then fine.{c} when mid.total >= {MIN_GROUP // 10} then mid.{c} else top.{c} end"
     within = " or ".join(f"(r.rule = {k} and r.rate between {f'q50 - greatest({r.slack}, {r.reach} * (q50 - q25))' if r.below else '-1'} and q50 + greatest({r.slack}, {r.reach} * (q50 - q25)))" for k, r in enumerate(RULES))
     return f"""
 with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),

@@ -82,7 +82,8 @@ def bounds(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Writes the documents under path/shard=S, each file sorted along the curve. doc_id must be unique here."""
-    places = sharded.select(F.col("doc_id").alias("__id"), "shard", "slot", "h")
+    """Writes the documents under path/__shard=S, each file sorted along the curve. doc_id must be unique here."""
+    places = sharded.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     whole = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sorted_ = whole.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    sorted_.drop("__slot").write.partitionBy("__shard").parquet(path)
