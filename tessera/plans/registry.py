@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import colour, compose, lossless, statistics
+from . import colour, compose, lossless, rate, statistics
 
-MODULES = (lossless, colour, compose, statistics)
+MODULES = (lossless, colour, compose, statistics, rate)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
