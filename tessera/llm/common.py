@@ -58,7 +58,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     what follows sees one fixed set of rows however often it is planned.
     """
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

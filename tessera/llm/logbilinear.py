@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import documents_only, in_fold, materialise, text_of
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
+#: A word's spot is its block's number and then its own in that many bits.
+SPOT_BITS = 28
 FREQUENT, TAILS, TAIL_BYTES = 384, 128, 3
 WIDTH, NOISE, BATCH, RATE, START = 24, 64, 1024, 0.1, 1e-6
 #: The word that stands for the end of a text; no word is empty.
@@ -45,48 +47,66 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def blocks(docs: DataFrame, folds: int, held: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows of two kinds: a text (doc_id, held_out, ids as bytes) and a word of a block (local, word, tail, c)."""
+    """Rows of two kinds. A block has its texts: doc_ids, held_out, sizes, and all tokens as compressed numbers of
+    its word list. A word of a block has its spot (block and number), the word, and c, its count in training texts."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, made = TaskContext.get().partitionId() << 24, 0
+        made = TaskContext.get().partitionId() << 16
         index: dict[bytes, int] = {}
         texts: list[tuple] = []
-        counts: list[np.ndarray] = []
         n = 0
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal made, n
-            if not texts:
-                return
-            block, words = base + made, list(index)
-            c = np.bincount(np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64), minlength=len(words))
-            ids, out, seqs = zip(*texts, strict=True)
-            rows = pd.DataFrame({"block": block, "doc_id": pd.array(ids, "Int64"), "held_out": pd.array(out, "boolean"), "ids": seqs})
-            yield rows.assign(local=pd.array([None] * len(rows), "Int32"), word=None, tail=pd.array([None] * len(rows), "Int32"), c=pd.array([None] * len(rows), "Int64"))
-            tails = [zlib.crc32(w[-TAIL_BYTES:]) % TAILS for w in words]
-            listed = pd.DataFrame({"block": block, "local": pd.array(range(len(words)), "Int32"), "word": words, "tail": pd.array(tails, "Int32"), "c": pd.array(c, "Int64")})
-            for k in range(0, len(listed), 20_000):
-                part = listed.iloc[k : k + 20_000]
-                yield part.assign(doc_id=pd.array([None] * len(part), "Int64"), held_out=pd.array([None] * len(part), "boolean"), ids=None)[[*rows.columns, "local", "word", "tail", "c"]]
-            index.clear(), texts.clear(), counts.clear()
+            doc_ids, held_out, seqs = zip(*texts, strict=True)
+            counted = [s for s, out in zip(seqs, held_out, strict=True) if not out]
+            c = np.bincount(np.concatenate([*counted, np.zeros(0, np.uint32)]).astype(np.int64), minlength=len(index))
+            row = {
+                "block": made,
+                "doc_ids": [None if pd.isna(x) else int(x) for x in doc_ids],
+                "held_out": list(map(bool, held_out)),
+                "sizes": list(map(len, seqs)),
+                "ids": _packed(np.concatenate(seqs)),
+                "spot": None,
+                "word": None,
+                "c": None,
+            }
+            yield pd.DataFrame([row]).astype({"spot": "Int64", "c": "Int64"})
+            words = list(index)
+            for k in range(0, len(words), 50_000):
+                part = words[k : k + 50_000]
+                spots = (made << SPOT_BITS) + np.arange(k, k + len(part))
+                empty = dict.fromkeys(("doc_ids", "held_out", "sizes", "ids"), pd.Series([None] * len(part), dtype=object))
+                yield pd.DataFrame({"block": made, **empty, "spot": spots, "word": pd.Series(part, dtype=object), "c": c[k : k + len(part)]}, columns=list(row))
+            index.clear(), texts.clear()
             made, n = made + 1, 0
 
         for batch in batches:
             for doc_id, held_out, text in zip(batch["doc_id"].astype("Int64"), batch["held_out"], batch["text"], strict=True):
                 words = tokens(text)
                 ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.uint32, len(words))
-                texts.append((doc_id, held_out, ids.tobytes()))
-                if not held_out:
-                    counts.append(ids)
+                texts.append((doc_id, held_out, ids))
                 n += len(ids)
                 if n >= block_tokens:
                     yield from flush()
-        yield from flush()
+        if texts:
+            yield from flush()
 
-    schema = "block long, doc_id long, held_out boolean, ids binary, local int, word binary, tail int, c long"
+    schema = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, spot long, word binary, c long"
     return documents_only(docs, in_fold(F.col("doc_id"), folds, held).alias("held_out")).mapInPandas(split, schema)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers with their bytes by place, which compresses well."""
+    x = np.ascontiguousarray(x)
+    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
 @dataclass
 class Counts:
     """Of the training tokens: all, different ones, and tokens and different words of each class."""
@@ -192,12 +212,13 @@ def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def _sequences(texts: pd.DataFrame, words: pd.DataFrame, classes: int) -> tuple[np.ndarray, ...]:
-    """Of all tokens of the texts: local number, class, and the classes one and two tokens before."""
-    cls = np.zeros(len(words), np.int64)
-    cls[words["local"].to_numpy()] = words["cls"].to_numpy()
-    local = np.frombuffer(b"".join(texts["ids"]), np.uint32).astype(np.int64)
-    sizes = texts["ids"].map(len).to_numpy(np.int64) // 4
+def _sequences(row, classes: int, train_only: bool) -> tuple[np.ndarray, ...]:
+    """Of all tokens of a coded block: local number, class, and the classes one and two tokens before; and the texts' sizes."""
+    local, cls = _unpacked(row.ids, "<u4").astype(np.int64), _unpacked(row.cls, "<u2").astype(np.int64)
+    sizes = np.asarray(row.sizes, np.int64)
+    if train_only:
+        kept = ~np.asarray(row.held_out, bool)
+        local, sizes = local[np.repeat(kept, sizes)], sizes[kept]
     starts = np.cumsum(sizes) - sizes
     y = cls[local]
     before = np.concatenate([[classes], y[:-1]])
@@ -207,39 +228,71 @@ def _sequences(texts: pd.DataFrame, words: pd.DataFrame, classes: int) -> tuple[
     return local, y, before, before2, sizes
 
 
+def frequent_words(split: DataFrame, frequent: int) -> list[bytes]:
+    """The words that get a class each: those with the highest counts among the words that are common in a block.
+
+    A word that is rare in every block isn't among the most frequent of the corpus, so the blocks' common words
+    are enough to choose from.
+    """
+    common = split.where("word is not null and c >= 16").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r["word"]) for r in common.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+
+
 def coded(split: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, Counts]:
-    """block, local, c (over the whole corpus) and cls of every listed word, and the corpus counts."""
-    listed = split.where("word is not null").select("block", "local", "word", "tail", "c")
+    """The blocks with the class of each of their words and its count over the corpus, and the corpus counts.
+
+    Words are summed over the blocks in one shuffle, and go back to their blocks in another, where they meet the
+    texts. Training and scoring then read blocks without shuffling anything.
+    """
+    top = frequent_words(split, frequent)
+    ranked = split.sparkSession.createDataFrame([(w, k) for k, w in enumerate(top)], "word binary, rank int")
+    classes = len(top) + TAILS
     word = Window.partitionBy("word")
-    first = F.row_number().over(word.orderBy("block")) == 1
-    summed = materialise(listed.select("block", "local", "word", "tail", F.sum("c").over(word).alias("c"), first.alias("first")), "summed")
-    once = summed.where("first and c > 0")
-    top = once.orderBy(F.desc("c"), "word").select("word").limit(frequent).collect()  # at most `frequent` words
-    ranked = summed.sparkSession.createDataFrame([(bytes(r["word"]), k) for k, r in enumerate(top)], "word binary, rank int")
-    cls = F.coalesce("rank", F.col("tail") + len(top)).alias("cls")
-    out = materialise(summed.join(F.broadcast(ranked), "word", "left").select("block", "local", "c", cls, "first"), "coded")
-    totals = out.where("first and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # one for each class
-    class_n, class_v = np.zeros(len(top) + TAILS), np.zeros(len(top) + TAILS)
-    for r in totals:
-        class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
-    return out.drop("first"), Counts(int(class_n.sum()), int(class_v.sum()), class_n, class_v, len(top))
-
-
-def train(texts: DataFrame, words: DataFrame, counts: Counts) -> Bilinear:
+    owner = F.row_number().over(word.orderBy("spot")) == 1
+    listed = split.where("word is not null").select("spot", "word", "c")
+    tail = F.crc32(F.expr(f"substring(word, greatest(length(word) - {TAIL_BYTES - 1}, 1), {TAIL_BYTES})")) % TAILS
+    summed = listed.select("spot", "word", F.sum("c").over(word).alias("c"), owner.alias("first"))
+    summed = summed.join(F.broadcast(ranked), "word", "left")  # at most `frequent` words
+    words = summed.select(F.shiftright("spot", SPOT_BITS).alias("block"), "spot", "c", F.coalesce("rank", tail + len(top)).cast("int").alias("cls"), "first")
+
+    def code(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row, n = left.iloc[0], len(right)
+        at = right["spot"].to_numpy(np.int64) & ((1 << SPOT_BITS) - 1)
+        c, cls = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        c[at], cls[at] = right["c"].to_numpy(np.int64), right["cls"].to_numpy(np.int64)
+        own = right["first"].to_numpy(bool) & (right["c"].to_numpy(np.int64) > 0)
+        mine, of = right["c"].to_numpy(np.int64)[own], right["cls"].to_numpy(np.int64)[own]
+        class_n = np.zeros(classes, np.int64)
+        np.add.at(class_n, of, mine)
+        out = {k: row[k] for k in ("block", "doc_ids", "held_out", "sizes", "ids")}
+        return pd.DataFrame([out | {"counts": _packed(c), "cls": _packed(cls.astype("<u2")), "class_n": class_n, "class_v": np.bincount(of, minlength=classes)}])
+
+    schema = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, counts binary, cls binary, class_n array<long>, class_v array<long>"
+    texts = split.where("ids is not null").select("block", "doc_ids", "held_out", "sizes", "ids")
+    out = materialise(texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(code, schema), "coded")
+    each = out.select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("k", "x"))
+    class_n, class_v = np.zeros(classes), np.zeros(classes)
+    for r in each.groupBy("k").agg(F.sum("x.class_n").alias("n"), F.sum("x.class_v").alias("v")).collect():  # one row for each class
+        class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
+    return out, Counts(int(class_n.sum()), int(class_v.sum()), class_n, class_v, len(top))
+
+
+def train(blocks_: DataFrame, counts: Counts) -> Bilinear:
     """The average, weighted by tokens, of a model for each block."""
     frequencies = (counts.class_n + 1) / (counts.class_n + 1).sum()
     classes = len(frequencies)
 
-    def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"row": [], "weight": [], "v": []})
-        _, y, before, before2, _ = _sequences(left, right, classes)
-        model = Bilinear.start(frequencies)
-        model.learn(before, before2, y, frequencies, seed=int(left["block"].iloc[0]))
-        rows = model.rows()
-        return pd.DataFrame({"row": range(len(rows)), "weight": float(len(y)), "v": [x.astype(float) for x in rows]})
-
-    learnt = texts.where("not held_out").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(fit, "row int, weight double, v array<double>")
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                _, y, before, before2, _ = _sequences(row, classes, True)
+                if len(y):
+                    model = Bilinear.start(frequencies)
+                    model.learn(before, before2, y, frequencies, seed=int(row.block))
+                    rows = model.rows()
+                    yield pd.DataFrame({"row": range(len(rows)), "weight": float(len(y)), "v": [x.astype(float) for x in rows]})
+
+    learnt = blocks_.select("block", "held_out", "sizes", "ids", "cls").mapInPandas(fit, "row int, weight double, v array<double>")
     mean = [(F.sum(F.col("weight") * F.col("v")[j]) / F.sum("weight")).alias(f"v{j}") for j in range(WIDTH + 1)]
     averaged = learnt.groupBy("row").agg(*mean).toPandas().sort_values("row")  # 2 * classes + 3 rows
     return Bilinear.from_rows(averaged.drop(columns="row").to_numpy()) if len(averaged) else Bilinear.start(frequencies)
@@ -247,37 +300,32 @@ def train(texts: DataFrame, words: DataFrame, counts: Counts) -> Bilinear:
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    split = materialise(blocks(docs, folds, held, block_tokens), "blocks")
-    texts = split.where("ids is not null").select("block", "doc_id", "held_out", "ids")
-    words, counts = coded(split)
-    model = train(texts, words, counts)
+    blocks_, counts = coded(materialise(blocks(docs, folds, held, block_tokens), "blocks"))
+    model = train(blocks_, counts)
     classes, within = len(counts.class_n), counts.within
     all_base = np.log10(counts.n + counts.v + 1)
 
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not len(left):
-            return pd.DataFrame(columns=columns)
-        local, y, before, before2, sizes = _sequences(left, right, classes)
-        c = np.zeros(len(right), np.int64)
-        c[right["local"].to_numpy()] = right["c"].to_numpy()
-        log_c = np.log10(c + 1.0)[local]
-        model_score = model.log_probabilities(before, before2, y) / np.log(10)
-        model_score += np.where(y >= counts.frequent, log_c - within[y], 0)
-        doc = np.repeat(np.arange(len(left)), sizes)
-        total = lambda v: np.bincount(doc, v, len(left))
-        return pd.DataFrame(
-            {
-                "doc_id": left["doc_id"].astype("Int64").array,
-                "held_out": left["held_out"].astype(bool).array,
-                "n_tokens": sizes,
-                "n_known": np.rint(total((c > 0)[local].astype(float))).astype("int64"),
-                "train_tokens": counts.n,
-                "base_score": total(log_c) - sizes * all_base,
-                "score": total(model_score),
-            },
-            columns=columns,
-        )
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                local, y, before, before2, sizes = _sequences(row, classes, False)
+                c = _unpacked(row.counts, np.int64)
+                log_c = np.log10(c + 1.0)[local]
+                model_score = model.log_probabilities(before, before2, y) / np.log(10)
+                model_score += np.where(y >= counts.frequent, log_c - within[y], 0)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                total = lambda v, doc=doc, n=len(sizes): np.bincount(doc, v, n)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], "Int64"),
+                        "held_out": np.asarray(row.held_out, bool),
+                        "n_tokens": sizes,
+                        "n_known": np.rint(total((c > 0)[local].astype(float))).astype("int64"),
+                        "train_tokens": counts.n,
+                        "base_score": total(log_c) - sizes * all_base,
+                        "score": total(model_score),
+                    }
+                )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(scored, schema)
+    return blocks_.drop("class_n", "class_v").mapInPandas(scored, schema)
