@@ -39,18 +39,26 @@ Plan = list[tuple[Filling, int]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences needed at least: by volume, and by lengths above a half with what can't stand beside them."""
+    """Sequences needed at least: by volume, and by lengths above a half with what can't stand beside them.
+
+    For a least length, those that leave less room than it stand alone, those above a half have one each, and
+    what is left between it and a half needs their spare room or more sequences.
+    """
     if not counts:
         return 0
     best = -(-sum(k * n for k, n in counts.items()) // capacity)
-    sizes = sorted(counts)
-    for least in {s for s in sizes if 2 * s <= capacity} | {1}:
-        big = sum(n for s, n in counts.items() if s > capacity - least)
-        half = [(s, n) for s, n in counts.items() if capacity - least >= s and 2 * s > capacity]
-        rest = sum(s * n for s, n in counts.items() if least <= s and 2 * s <= capacity)
-        spare = sum((capacity - s) * n for s, n in half)
-        best = max(best, big + sum(n for _, n in half) + max(0, -(-(rest - spare) // capacity)))
-    return best
+    many = np.zeros(capacity + 1, object)  # exact integers, however many documents
+    for size, n in counts.items():
+        many[size] = n
+    upto, volume = np.cumsum(many), np.cumsum(many * np.arange(capacity + 1))
+    half = capacity // 2
+    for least in sorted({s for s in counts if 2 * s <= capacity} | {1}):
+        alone = upto[capacity] - upto[capacity - least]
+        singles = max(0, upto[capacity - least] - upto[half])
+        spare = singles * capacity - max(0, volume[capacity - least] - volume[half])
+        rest = volume[half] - volume[least - 1]
+        best = max(best, alone + singles + max(0, -(-(rest - spare) // capacity)))
+    return int(best)
 
 
 def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int) -> list[Filling]:
