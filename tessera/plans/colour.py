@@ -10,7 +10,7 @@ from ..operators import filters
 from . import base
 
 UNIT = [f"(c{k} / cast(255.0 as double)) as s{k}" for k in range(3)]
-LONGX = F.col("x").cast("long").alias("x")
+LONGX = "cast(x as bigint) as x"
 
 
 def _rounded(named: dict[str, str], digits: int = 6) -> list[str]:
@@ -49,13 +49,13 @@ PIXEL: dict[str, list[str]] = {
 
 
 def gaborish_3x3(spark: SparkSession, d: str) -> DataFrame:
-    return filters.gaborish(base.plane(spark, d)).select("y", LONGX, F.round("v", 6).alias("v"))
+    return filters.gaborish(base.plane(spark, d)).select("y", F.expr(LONGX), F.round("v", 6).alias("v"))
 
 
 def noise_conv_5x5(spark: SparkSession, d: str) -> DataFrame:
     rows = base.plane(spark, d)
     height = rows.count()
-    return filters.zero_sum_5x5(rows, height).select("y", LONGX, F.round("v", 6).alias("v"))
+    return filters.zero_sum_5x5(rows, height).select("y", F.expr(LONGX), F.round("v", 6).alias("v"))
 
 
 def _noise_sql() -> str:
@@ -66,11 +66,11 @@ select s.y, s.x, round((sum(q.v) - max(s.v)) * cast(0.16 as double) - max(s.v) *
 
 
 def chroma_upsample_2x(spark: SparkSession, d: str) -> DataFrame:
-    return filters.upsample_rows(base.plane(spark, d)).select("y", LONGX, "v")
+    return filters.upsample_rows(base.plane(spark, d)).select("y", F.expr(LONGX), "v")
 
 
 def dc_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    return filters.smooth_dc(base.plane(spark, d), 64.0).select("y", LONGX, F.round("v", 6).alias("v"))
+    return filters.smooth_dc(base.plane(spark, d), 64.0).select("y", F.expr(LONGX), F.round("v", 6).alias("v"))
 
 
 W1, W2 = 0.20345139757231578, 0.0334829185968739
@@ -82,7 +82,7 @@ def block_mean_dc(spark: SparkSession, d: str) -> DataFrame:
 
 def dct8_forward(spark: SparkSession, d: str) -> DataFrame:
     made = filters.forward_dct(base.plane(spark, d))
-    return made.select("brow", *(F.col(c).cast("long").alias(c) for c in ("bcol", "u", "k")), F.round(F.col("f") + F.lit(3e-7), 5).alias("f"))
+    return made.select("brow", *(F.col(c).cast("long").alias(c) for c in ("bcol", "u", "k")), (F.round(F.col("f") + F.lit(3e-7), 5) + F.lit(0.0)).alias("f"))
 
 
 def _dct_sql() -> str:
@@ -90,7 +90,7 @@ def _dct_sql() -> str:
     values = ", ".join(f"({u}, {x}, cast('{m[u][x]!r}' as double))" for u in range(8) for x in range(8))
     return f"""with {base.PX}, b as (select * from (values {values}) t(u, i, w)), whole as (select y // 8 as wy from px group by y // 8 having count(*) = 512),
 across as (select p.y, p.x // 8 as bcol, b.u as k, sum(p.v * b.w) as t from px p join b on b.i = p.x % 8 group by p.y, p.x // 8, b.u)
-select y // 8 as brow, bcol, cast(b.u as bigint) as u, cast(k as bigint) as k, round(sum(t * b.w) + 0.0000003, 5) as f from across join b on b.i = y % 8 where y // 8 in (select wy from whole) group by y // 8, bcol, b.u, k"""
+select y // 8 as brow, bcol, cast(b.u as bigint) as u, cast(k as bigint) as k, round(sum(t * b.w) + 0.0000003, 5) + 0.0 as f from across join b on b.i = y % 8 where y // 8 in (select wy from whole) group by y // 8, bcol, b.u, k"""
 
 
 def quant_bias(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "dc_smoothing": f"with {base.STENCIL}, dims as (select max(y) as h, max(x) as w from px), s as (select *, {_S} as s from st, dims) select y, x, round(case when y in (0, h) or x in (0, w) then cast(v as double) else (s - v) * greatest(0.0, 3.0 - 4.0 * greatest(0.5, abs((v - s) / 64.0))) + v end, 6) as v from s",
     "block_mean_dc": f"with {base.PX} select y // 8 as brow, x // 8 as bcol, avg(v) as mean, min(v) as low, max(v) as high, count(*) as n from px group by y // 8, x // 8",
     "dct8_forward": _dct_sql(),
-    "adaptive_quant": f"with f as ({_dct_sql().replace('round(sum(t * b.w) + 0.0000003, 5)', 'sum(t * b.w)')}), a as (select brow, bcol, sqrt(sum((f / 255) * (f / 255)) / 63) as act from f where u > 0 or k > 0 group by brow, bcol) select brow, bcol, {AQ} as q from a",
+    "adaptive_quant": f"with f as ({_dct_sql().replace('round(sum(t * b.w) + 0.0000003, 5) + 0.0', 'sum(t * b.w)')}), a as (select brow, bcol, sqrt(sum((f / 255) * (f / 255)) / 63) as act from f where u > 0 or k > 0 group by brow, bcol) select brow, bcol, {AQ} as q from a",
     "quant_bias": f"with q as (select distinct cast(l_quantity as int) - 25 as q from lineitem) select q, round({_bias('q')}, 9) as v from q",
     "quality_quantiser": f"with q as (select distinct p_partkey % 101 as quality from part) select quality, {QUALITY} as global_scale from q",
 }

@@ -21,7 +21,7 @@ def rd_quantise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_preserving(spark: SparkSession, d: str) -> DataFrame:
-    return rate.edge_preserving(base.plane(spark, d), -0.05).select("y", LONGX, F.round("v", 6).alias("v"))
+    return rate.edge_preserving(base.plane(spark, d), -0.05).select("y", F.expr(LONGX), F.round("v", 6).alias("v"))
 
 
 def nonzero_prediction(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ QUERIES = {
     "frame_score": frame_score,
 }
 
-_DCT = colour._dct_sql().replace("round(sum(t * b.w) + 0.0000003, 5)", "sum(t * b.w)")
+_DCT = colour._dct_sql().replace("round(sum(t * b.w) + 0.0000003, 5) + 0.0", "sum(t * b.w)")
 _W = "greatest(0.0, 1 + abs({0} - v) * s)"
 _TAPS = ["up", "l", "rr", "dn"]
 _ORDER = ", ".join(f"({u}, {k}, {i})" for i, (u, k) in enumerate(rate.natural_order()))
