@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BITS, PART, SAMPLE, K = 256, 16, 4096, 20
+BITS, SAMPLE, K = 256, 4096, 20
+#: Pairs of a query and a row compared at once; bounds a task's memory.
+AT_ONCE = 1 << 20
 #: Share of the true neighbours of sampled queries, within the sample, that the radius must cover.
 COVER = 0.95
 
@@ -82,29 +84,23 @@ def reaches(radius: int, parts: int) -> list[int]:
 
 
 class Index:
-    """The substring tables of one block of rows."""
+    """The substring tables of one block of rows: for each substring its values, and the rows of each value."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.parts = words.view("<u2").astype(np.int64)  # (rows, bits / 16)
-        self.tables = []
-        for p in self.parts.T:
-            order = np.argsort(p, kind="stable")
-            values, starts = np.unique(p[order], return_index=True)
-            self.tables.append((values, starts, np.append(starts[1:], len(order)), order))
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within `radius` bits, by probing, verified."""
-        found = np.zeros(len(self.words), bool)
-        for (values, starts, stops, order), value, reach in zip(self.tables, query.view("<u2").astype(np.int64), reaches(radius, len(self.tables)), strict=True):
-            hit = np.bitwise_count(values ^ value) <= reach  # the occupied values among those that pigeonholing probes
-            if hit.all():
-                found[:] = True
-                break
-            a, n = starts[hit], (stops - starts)[hit]
-            found[order[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.words[rows] ^ query).sum(1) <= radius]
+        self.tables = [np.unique(p, return_inverse=True) for p in words.view("<u2").T]
+
+    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """(queries, rows): whether the code is within `radius` bits, by probing and then verifying what was found."""
+        found = np.zeros((len(queries), len(self.words)), bool)
+        for (values, row_value), asked, reach in zip(self.tables, queries.view("<u2").T, reaches(radius, len(self.tables)), strict=True):
+            if reach >= 0:
+                probed = np.bitwise_count(asked[:, None] ^ values[None, :]) <= reach  # the values that occur among those to probe
+                found |= probed[:, row_value]
+        query, row = np.nonzero(found)
+        far = np.bitwise_count(self.words[row] ^ queries[query]).sum(1) > radius
+        found[query[far], row[far]] = False
+        return found
 
 
 def search(queries: pd.DataFrame, rows: pd.DataFrame, codes: Codes, radius: int, k: int) -> pd.DataFrame:
@@ -116,18 +112,22 @@ def search(queries: pd.DataFrame, rows: pd.DataFrame, codes: Codes, radius: int,
     _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     keep = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy() <= k
     x, ids = x[keep], ids[keep]
-    index, coded = Index(codes.encode(x)), codes.encode(q)
-    out = []
-    for query_id, vector, code in zip(queries["vec_id"].to_numpy(np.int64), q, coded, strict=True):
-        at = index.within(code, radius)
-        at = at[ids[at] != query_id]
-        inner = x[at] @ vector
-        if len(at) > k:
-            best = inner >= np.partition(inner, len(at) - k)[len(at) - k] - 1e-9
-            at = at[best]
-        exact = [math.fsum(row) for row in (x[at] * vector).tolist()]  # products of two floats are exact in double
-        for s, n in sorted(zip([-s for s in exact], ids[at].tolist(), strict=True))[:k]:
-            out.append((query_id, n, -s))
+    index, coded, out = Index(codes.encode(x)), codes.encode(q), []
+    step = max(1, AT_ONCE // max(1, len(x)))
+    query_ids = queries["vec_id"].to_numpy(np.int64)
+    for start in range(0, len(q), step):
+        part = slice(start, start + step)
+        found = index.within(coded[part], radius)
+        inner = q[part] @ x.T
+        for query_id, vector, near, products in zip(query_ids[part], q[part], found, inner, strict=True):
+            at = np.flatnonzero(near)
+            at = at[ids[at] != query_id]
+            if len(at) > k:
+                kept = products[at]
+                at = at[kept >= np.partition(kept, len(at) - k)[len(at) - k] - 1e-9]
+            exact = [math.fsum(row) for row in (x[at] * vector).tolist()]  # products of two floats are exact in double
+            for s, n in sorted(zip([-s for s in exact], ids[at].tolist(), strict=True))[:k]:
+                out.append((query_id, n, -s))
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 

@@ -21,7 +21,6 @@ unless there is no other; then component_id is null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
