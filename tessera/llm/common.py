@@ -92,20 +92,16 @@ def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows:
     return placed.withColumn("__rank", F.col("__start") + F.col("__local")).drop("__bucket", "__local", "__start")
 
 
-def sample_by_class(rows: DataFrame, per_class: int, most_classes: int = 256):
-    """label and text of about `per_class` rows of each `label`, drawn by a hash of doc_id, as pandas.
+def thinned(rows: DataFrame, per_class: int, most_classes: int = 256) -> tuple[DataFrame, dict]:
+    """About `per_class` rows of each `label`, drawn by a hash of doc_id, and the rows of each label in all.
 
-    rows: doc_id, text, label. A class is thinned by the share that leaves per_class of it on average; the
-    `most_classes` most frequent labels take part. The sample's size doesn't grow with the table. Its attribute
-    `rows` has the number of rows of each label in the whole table.
+    rows: doc_id, label and more. A class is thinned by the share that leaves per_class of it on average; the
+    `most_classes` most frequent labels take part. So the result's size doesn't grow with the table.
     """
     counted = rows.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    counts = counted.orderBy(F.desc("n"), "label").limit(most_classes).collect()
+    counts = {r["label"]: r["n"] for r in counted.orderBy(F.desc("n"), "label").limit(most_classes).collect()}
     if not counts:
-        return rows.select("label", "text").limit(0).toPandas()
+        return rows.where("false"), {}
     scale = 1 << 40
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(scale, scale * per_class // r["n"]))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < shares[F.col("label")])
-    sample = drawn.select("label", "text").toPandas().sort_values(["label", "text"], ignore_index=True)
-    sample.attrs["rows"] = {r["label"]: r["n"] for r in counts}
-    return sample
+    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * per_class // n))))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < shares[F.col("label")]), counts

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import Letters
-from .common import documents_only, in_fold, sample_by_class, text_of
+from .common import documents_only, in_fold, text_of, thinned
 
-PER_CLASS, ORDER, CUT = 4000, 6, 0.3
+PER_CLASS, ORDER, CUT = 2000, 6, 0.3
 #: In nats: a word that is this much likelier in toxic texts is an expression of its own.
-MARGIN = 4.5
+MARGIN = 4.0
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters scored at once; bounds a worker's memory.
 AT_ONCE = 2_000_000
@@ -82,13 +82,11 @@ def _shared_backoff(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     """
     words = list(counts)
     letters = Letters.of(words)
-    history, gram, _ = letters.histories(ORDER)
-    grams, first = np.unique(gram, return_index=True)
+    grams, first = np.unique(letters.histories(ORDER)[1], return_index=True)
     prob = np.full(len(grams), 1 / max(2, len(np.unique(letters.codes))))
-    below = [letters.histories(k) for k in range(1, ORDER)]
+    h, g, _ = letters.histories(1)
     for k in range(1, ORDER):
-        h, g, _ = below[k - 1]
-        longer = below[k][1] if k < ORDER - 1 else gram
+        longer_h, longer, _ = letters.histories(k + 1)
         # N1+(. g): different grams one letter longer that end in g.
         ones, at = np.unique(longer, return_index=True)
         low, cont, place = _summed(g[at], np.ones(len(at)))
@@ -100,6 +98,7 @@ def _shared_backoff(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         mine = np.searchsorted(low, g[first])
         head = inverse[mine]
         prob = (cont[mine] - d) / total[head] + d * kinds[head] / total[head] * prob
+        h, g = longer_h, longer
     return grams, prob
 
 
@@ -130,10 +129,8 @@ def fit_ratios(by_class: tuple[Counter, Counter]) -> Ratios:
     log_p, log_back = [], []
     history, gram, _ = Letters.of(list(by_class[0] + by_class[1])).histories(ORDER)
     heads, inverse = np.unique(history[np.unique(gram, return_index=True)[1]], return_inverse=True)
-    full = [_full_order(counts, grams) for counts in by_class]
-    pooled, _ = _discounted(full[0] + full[1], inverse, shared)
-    for counts in full:
-        p, back = _discounted(counts, inverse, pooled)
+    for counts in by_class:
+        p, back = _discounted(_full_order(counts, grams), inverse, shared)
         log_p.append(np.log(p))
         log_back.append(np.log(np.maximum(back, 1e-9)))
     return Ratios(grams, log_p[1] - log_p[0], heads, log_back[1] - log_back[0])
@@ -175,7 +172,7 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Ratios:
     odds: of a toxic text among all labelled ones, where the sample is thinned by class.
     """
     sample = sample.drop_duplicates(["label", "text"])
-    texts = [words_of(x) for x in sample["text"]]
+    texts = sample["text"].to_list()
     y = sample["label"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return Ratios()
@@ -183,14 +180,15 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Ratios:
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum()) % 3
     counted: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label, k in zip(texts, y, turn, strict=True):
+    for text, label, k in zip(texts, y, turn, strict=True):
         if k:
-            counted[int(label)].update(words)
+            counted[int(label)].update(words_of(text))
     if not (counted[0] and counted[1]):
         return Ratios()
     ratios = fit_ratios(counted)
     held = np.flatnonzero(turn == 0)
-    curve = _logistic(_design(evidence(ratios, [texts[k] for k in held])), y[held])
+    parts = [evidence(ratios, [words_of(texts[k]) for k in held[at : at + 100]]) for at in range(0, len(held), 100)]
+    curve = _logistic(_design(np.concatenate(parts)), y[held])
     if odds:
         curve[0] += np.log(odds) - np.log(y[held].sum() / (1 - y[held]).sum())
     ratios.curve = tuple(curve)
@@ -198,11 +196,16 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Ratios:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ratios:
-    """labels: doc_id and toxic (0 or 1; other values and nulls are left out)."""
-    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("string").alias("label"))
-    rows = documents_only(docs).join(marked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
-    sample = sample_by_class(rows, per_class)
-    n = sample.attrs.get("rows", {})
+    """labels: doc_id and toxic (0 or 1; other values and nulls are left out; an id with both is toxic).
+
+    The labels are thinned before they meet the texts, so the join broadcasts about 2 * per_class ids and no text
+    is shuffled.
+    """
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    drawn, n = thinned(marked.agg(F.max("toxic").cast("string").alias("label")), per_class)
+    drawn = drawn.select(F.col("doc_id").alias("__id"), "label")
+    rows = documents_only(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    sample = rows.select("label", "text").toPandas().sort_values(["label", "text"], ignore_index=True)
     odds = n["1"] / n["0"] if n.get("0") and n.get("1") else None
     return fit(sample.assign(label=sample["label"].astype(int)), odds)
 
@@ -228,6 +231,6 @@ def score(docs: DataFrame, ratios: Ratios) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_class: int = PER_CLASS) -> DataFrame:
     """score() with held_out and predicted; the labels of the fold `held` teach nothing."""
-    teach = docs.where(~in_fold(F.col("doc_id"), folds, held))
-    scored = score(docs, train(teach, labels, per_class))
+    taught = ~in_fold(F.col("doc_id"), folds, held)
+    scored = score(docs, train(docs.where(taught), labels.where(taught), per_class))
     return scored.select("doc_id", in_fold(F.col("doc_id"), folds, held).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "log_ratio", "beyond")
