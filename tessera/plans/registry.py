@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import colour, compose, draw, lossless, rate, statistics
+from . import colour, compose, draw, lossless, rate, statistics, trees
 
-MODULES = (lossless, colour, compose, statistics, rate, draw)
+MODULES = (lossless, colour, compose, statistics, rate, draw, trees)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
