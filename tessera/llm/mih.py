@@ -31,6 +31,8 @@ from .common import materialise
 BITS, SAMPLE, K = 256, 4096, 20
 #: Pairs of a query and a row compared at once; bounds a task's memory.
 AT_ONCE = 1 << 20
+#: Queries in a block of them, about.
+QUERIES = 4096
 #: Share of the true neighbours of sampled queries, within the sample, that the radius must cover.
 COVER = 0.95
 
@@ -144,17 +146,24 @@ def nearest(vectors: DataFrame, query: str, k: int = K, bits: int = BITS, sample
     fine = materialise(usable(vectors), "vectors")
     spark = fine.sparkSession
     schema = "query_id long, vec_id long, score double"
-    drawn = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # `sample` rows
-    if not len(drawn):
+
+    def fit(drawn: pd.DataFrame) -> pd.DataFrame:
+        width = int(drawn["embedding"].map(len).mode()[0])
+        codes = learn(np.stack([x for x in drawn["embedding"] if len(x) == width]).astype(float), bits, k, cover)
+        return pd.DataFrame([(width, codes.centre, codes.turn.ravel(), codes.radius)], columns=["width", "centre", "turn", "radius"])
+
+    # A task learns the codes, from `sample` rows whatever the table; its linear algebra runs on one thread there.
+    drawn = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).withColumn("all", F.lit(0))
+    learnt = drawn.groupBy("all").applyInPandas(fit, "width int, centre array<double>, turn array<double>, radius int").collect()
+    if not learnt:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = int(drawn["embedding"].map(len).mode()[0])
+    width = learnt[0]["width"]
     fine = fine.where(F.size("embedding") == width)
-    codes = learn(np.stack([x for x in drawn["embedding"] if len(x) == width]).astype(float), bits, k, cover)
+    codes = Codes(np.array(learnt[0]["centre"]), np.array(learnt[0]["turn"]).reshape(width, -1), learnt[0]["radius"])
     n = fine.count()
     block = max(1024, min(65536, n // 64))
-    n_rows, n_queries = -(-n // block), 0
     asked = fine.where(query)
-    n_queries = max(1, -(-asked.count() // 4096))
+    n_rows, n_queries = -(-n // block), max(1, -(-asked.count() // QUERIES))
 
     def pairs(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
