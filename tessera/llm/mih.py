@@ -31,8 +31,8 @@ from .common import materialise
 BITS, SAMPLE, K = 256, 4096, 20
 #: Pairs of a query and a row compared at once; bounds a task's memory.
 AT_ONCE = 1 << 20
-#: Queries in a block of them, about.
-QUERIES = 4096
+#: Queries in a block of them, about; index blocks of a table, and rows in one at most, from where their number grows.
+QUERIES, ROW_BLOCKS, BLOCK = 4096, 16, 65536
 #: Share of the true neighbours of sampled queries, within the sample, that the radius must cover.
 COVER = 0.95
 
@@ -161,9 +161,8 @@ def nearest(vectors: DataFrame, query: str, k: int = K, bits: int = BITS, sample
     fine = fine.where(F.size("embedding") == width)
     codes = Codes(np.array(learnt[0]["centre"]), np.array(learnt[0]["turn"]).reshape(width, -1), learnt[0]["radius"])
     n = fine.count()
-    block = max(1024, min(65536, n // 64))
     asked = fine.where(query)
-    n_rows, n_queries = -(-n // block), max(1, -(-asked.count() // QUERIES))
+    n_rows, n_queries = max(min(ROW_BLOCKS, -(-n // 64)), -(-n // BLOCK)), max(1, -(-asked.count() // QUERIES))
 
     def pairs(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
