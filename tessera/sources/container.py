@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the file format: the signature box, the bare start, and the type box.
 SIGNATURE = bytes.fromhex("0000000c4a584c200d0a870a")
 BARE = bytes.fromhex("ff0a")
 FTYP = b"ftyp", b"jxl \x00\x00\x00\x00jxl "
