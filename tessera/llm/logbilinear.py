@@ -229,13 +229,9 @@ def _sequences(row, classes: int, train_only: bool) -> tuple[np.ndarray, ...]:
 
 
 def frequent_words(split: DataFrame, frequent: int) -> list[bytes]:
-    """The words that get a class each: those with the highest counts among the words that are common in a block.
-
-    A word that is rare in every block isn't among the most frequent of the corpus, so the blocks' common words
-    are enough to choose from.
-    """
-    common = split.where("word is not null and c >= 16").groupBy("word").agg(F.sum("c").alias("c"))
-    return [bytes(r["word"]) for r in common.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    """The words that get a class each: those of the training texts with the highest counts over all blocks."""
+    summed = split.where("word is not null and c > 0").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r["word"]) for r in summed.orderBy(F.desc("c"), "word").limit(frequent).collect()]
 
 
 def coded(split: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, Counts]:
