@@ -1,15 +1,20 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-Long texts are cut before encoding where no match of the splitting pattern can lie across the cut, so that
-the library never holds more than about PART characters at once and the ids are those of the whole text.
-
-Null text encodes as the empty text. Texts of any length are taken whole.
+Long texts are cut before encoding where no match of the splitting pattern can lie across the cut, so that the
+ids are those of the whole text. A cut lies before a lone space between letters, and around a run of white space
+longer than RUN: there the pattern's match is known (the run but for its last character, or all of it at the end
+of the text), and the library's merges are applied to it directly, since its pattern engine overflows its stack
+on very long runs. Both hold for public_tokenizers.PATTERN; with any other pattern texts go to the library whole.
+
+Null and empty texts have no ids and decode to nothing. Texts of any length are taken whole. Repeated rows, ties and
+extra columns don't matter, since every row is encoded by itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import documents_only, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-PART = 1 << 16
+PART, RUN = 1 << 16, 1 << 12
+#: The characters that Unicode calls white space, as the pattern's \\s does.
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=4)
@@ -54,12 +61,23 @@ def safe_parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[start:]
 
 
+def long_parts(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in order, as parts to be split by the pattern (False) and matches of it that are known already (True)."""
+    start = 0
+    for run in SPACES.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield from ((part, False) for part in safe_parts(text[start : run.start()]))
+        yield text[run.start() : end], True
+        start = end
+    yield from ((part, False) for part in safe_parts(text[start:]))
+
+
 def encode(text: str | None, rank_file: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> list[int]:
     enc = encoding(rank_file, pattern)
     text = text_of(text)
-    if len(text) <= PART:
+    if len(text) <= RUN or pattern != public_tokenizers.PATTERN:
         return enc.encode_ordinary(text)
-    return [i for part in safe_parts(text) for i in enc.encode_ordinary(part)]
+    return [i for part, known in long_parts(text) for i in (enc._encode_single_piece(part) if known else enc.encode_ordinary(part))]
 
 
 def decode(ids, rank_file: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> bytes:

@@ -10,9 +10,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import bpe, common, crf, licences, logbilinear, mih, packing, quality, sharding, simhash, toxicity, wordpieces
@@ -244,6 +246,20 @@ def test_bpe_cuts_are_safe():
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_bpe_of_long_runs_is_the_library():
+    enc = bpe.encoding(bpe.RANKS, bpe.public_tokenizers.PATTERN)
+    n = bpe.RUN + 5
+    for text in (" " * n, "a" + "\n" * n, " " * n + "b", "a" + "\t" * n + "!" + " \u3000" * n, "\n" * n + " x " + " " * n + "'s", "x" * n + " " * (n - 6) + "1"):
+        assert bpe.encode(text) == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "a", "!", "1"])
+def test_bpe_of_a_million_characters_round_trips(spark, run):
+    text = run * (1_500_000 // len(run)) + "end"
+    row = bpe.round_trips(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_columns(spark):
     df = spark.createDataFrame([("héllo wörld",), (None,)], "text string").withColumn("ids", bpe.encoder()("text"))
     assert [bytes(r.raw).decode() for r in df.withColumn("raw", bpe.decoder()("ids")).collect()] == ["héllo wörld", ""]
@@ -354,9 +370,11 @@ def test_plans_are_optimal_on_small_cases():
 
 def test_word_ids_are_the_library():
     encoder = wordpieces.encoder()
+    library = Tokenizer.from_file(public_tokenizers.path(wordpieces.VOCABULARY))
     texts = [r[1] for r in corpus(10) + ODD if r[0] != 1004]
+    texts += ["<|endoftext|>", "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|>", "<|endoftext|>é <|endof text|>", "it's<|startoftext|>'s"]
     for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
-        assert list(ids) == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert list(ids) == library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_covers_every_piece(docs, empty):
