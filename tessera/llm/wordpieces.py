@@ -3,7 +3,8 @@
 The vocabulary's normaliser and splitter never let a token lie across ASCII white space, so the ids of a text
 are those of its runs put together, and each run is encoded once in a worker. Runs of printable characters
 below U+0240 are composed already and have a lower case of their own, so the splitting pattern is applied to
-them directly and the ids come from the library's BPE model; the library does all of any other run.
+them directly and the ids come from the library's BPE model; the library does all of any other run, and of runs
+that hold the text of a special token, which has its one id as in the library.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class WordEncoder:
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        #: Texts of the vocabulary's own special tokens, which the library finds before anything else. They hold no white space.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.runs: dict[bytes, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -55,7 +57,7 @@ class WordEncoder:
         simple, other = [], []
         for raw in fresh:
             run = raw.decode()
-            (simple if max(raw) < SIMPLE_LEAD and run.isprintable() else other).append((raw, run))
+            (simple if max(raw) < SIMPLE_LEAD and run.isprintable() and not any(t in raw for t in self.special) else other).append((raw, run))
         flat, sizes, ids, known, new = [], [], [], self.pieces, self._new_piece
         for piece in PIECES.findall("\n".join([run for _, run in simple]).lower() + "\n"):
             if piece == "\n":
