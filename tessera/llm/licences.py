@@ -1,19 +1,23 @@
 """Licence scans: TF-IDF cosine of notices and files to templates, then inheritance along directories.
 
-A unit is a line of a text (a notice in a header) or a whole text (a licence file). Its vector has a
-component for each different token, the token's inverse document frequency over all units, ln((1 + N) / (1 +
-df)); tokens that no template has count as never seen before, so foreign words only lower the cosine. A line
-matches the template with the highest cosine of at least `LINE`; a whole text of at least `FILE` is a licence
-file, whose licence covers its directory and all below. A file without a notice of its own inherits from the
-nearest directory upwards that has one.
-
-Everything is DataFrame and SQL functions. Units are cut down to the templates' tokens inside their row; a
-unit whose share of template mass can't reach the least cosine is dropped before anything is exploded, which
-is exact because cosine <= |common| / |template|. Templates are a parameter, and broadcast as such. Directories
-are resolved among themselves, then joined with the files.
-
-Null and empty texts have no notice but can inherit. Equal cosines go to the smaller template name; several
-licence files of a directory: the highest cosine, then the smaller licence name. A null path has no directory.
+A unit is a line of a text (a notice in a header) or a whole text (a licence file). Its vector has a component for
+each different token: whether the unit has it (boolean term frequency, as notices are a sentence long), times its
+inverse document frequency over all units, ln((1 + N) / (1 + df)). A line matches the template with the highest
+cosine of at least `LINE`; a whole text of at least `FILE` is a licence file, whose licence covers its directory
+and all below. A file without a notice of its own inherits from the nearest directory upwards that has one.
+
+Everything is DataFrame and SQL functions. A first pass counts df of every token, summed inside each task before
+the shuffle. A second pass keeps, inside the row, the units that can still match: with `cover` the mass that unit and
+template share and `own` that of all template tokens in the unit, cosine <= cover / sqrt(own * template), so dropping
+the others is exact. Only what is left (as many as there are notices, and near misses) meets the table of df, and its
+tokens are joined with that by shuffle. Templates are a parameter; what is broadcast has their size. Directories are
+resolved among themselves, then joined with the files.
+
+A file is its id, path and text: rows that repeat all three count in df each and get the same result, and rows with
+one id or path but other texts are files of their own. Null and empty texts have no notice but can inherit. Texts of
+any length are taken whole. Equal cosines go to the smaller template name; several licence files of a directory: the
+highest cosine, then the smaller licence name. A null path has no directory. Columns besides these three are left
+out, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,53 +60,64 @@ def _tokens(column: str) -> Column:
     return F.expr(f"array_remove(array_distinct(split(translate({column}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')), '')")
 
 
+def _units() -> Column:
+    """The different tokens of the whole text, then of each of its lines; the text is split once."""
+    lines = f"transform(split(translate(text, '{UPPER}', '{LOWER}'), '\\n'), l -> array_remove(array_distinct(split(l, '[^a-z0-9]+')), ''))"
+    return F.expr(f"transform(array({lines}), x -> concat(array(array_distinct(flatten(x))), x))[0]")
+
+
 def scan(files: DataFrame, templates=TEMPLATES, line: float = LINE, whole: float = FILE) -> DataFrame:
     """files: file_id, path, text. Returns file_id, path, licence, cosine, is_file, inherited and from_dir.
 
     licence is the file's own or the inherited one, or null; cosine that of its own best unit, or null; from_dir
     the directory that it was inherited from.
     """
-    spark = files.sparkSession
-    known = template_table(spark, templates)
-    vocabulary = sorted({t for r in known.select("tokens").collect() for t in r["tokens"]})  # a parameter's size
+    known = template_table(files.sparkSession, templates).collect()  # a parameter's size
+    vocabulary = sorted({t for r in known for t in r["tokens"]})
     word_list = F.array(*map(F.lit, vocabulary))
-    named = files.select(F.col("file_id").alias("file_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    units = named.select("file_id", "path", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "text"))
-    units = units.select("file_id", "path", "unit", _tokens("text").alias("tokens"))
-    units = units.select("file_id", "path", "unit", F.size("tokens").alias("n"), F.array_intersect("tokens", word_list).alias("common")).where("n > 0")
-    # Lines without any template token matter for N alone.
-    units = materialise(units, "units")
-    n_units = units.count()
-    df = {r["token"]: r["df"] for r in units.select(F.explode("common").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()}  # one for each vocabulary token
-    # Every idf in one place: rows of the vocabulary, and a map of the squares for sums inside a row.
-    squares = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, _idf(n_units, df.get(t, 0)) ** 2)))
-    unseen = _idf(n_units, 0) ** 2
-    postings = known.select("template", "licence", F.aggregate("tokens", F.lit(0.0), lambda a, t: a + squares[t]).alias("mass"), F.explode("tokens").alias("token"))
-    postings = postings.withColumn("square", squares[F.col("token")])
-    least = min(r["mass"] for r in postings.select("mass").distinct().collect())
-    own = F.aggregate("common", F.lit(0.0), lambda a, t: a + squares[t])
-    cut = min(line, whole) ** 2 * least
-    likely = units.withColumn("own", own).where(F.col("own") >= cut * (1 - 1e-9))
-    likely = likely.withColumn("mass", F.col("own") + (F.col("n") - F.size("common")) * unseen)
-    shared = likely.select("file_id", "path", "unit", F.col("mass").alias("unit_mass"), F.explode("common").alias("token")).join(F.broadcast(postings), "token")
-    cosines = shared.groupBy("file_id", "path", "unit", "template", "licence").agg((F.sum("square") / F.sqrt(F.first("unit_mass") * F.first("mass"))).alias("cosine"))
-    cosines = cosines.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= F.when(F.col("unit") == 0, whole).otherwise(line))
-    best = F.min(F.struct((-F.col("cosine")).alias("minus"), "template", "licence")).alias("best")
-    own_best = cosines.groupBy("file_id", "path").agg(best, F.max(F.col("unit") == 0).alias("is_file"))
-    own_best = materialise(own_best.select("file_id", "path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"), "is_file"), "own")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = files.select(F.col("file_id").alias("file_id"), F.col("path").cast("string").alias("path"), text.alias("text"))
+    key = F.struct("file_id", "path", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).alias("key")
+
+    # The empty token stands in every unit, so its df is the number of units.
+    counted = named.select(F.explode(_units()).alias("tokens")).where("size(tokens) > 0").select(F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token"))
+    dfs = materialise(counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
+    df = {r["token"]: r["df"] for r in dfs.where(F.col("token").isin(["", *vocabulary])).collect()}  # one for each template token
+    n_units = df.pop("", 0)
+    square = {t: _idf(n_units, df.get(t, 0)) ** 2 for t in vocabulary}
+    squares = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, square[t])))
+    mass = {r["template"]: sum(square[t] for t in r["tokens"]) for r in known}
+    summed = lambda tokens: F.aggregate(tokens, F.lit(0.0), lambda a, t: a + squares[t])
+
+    units = named.select(key, F.posexplode(_units()).alias("unit", "tokens")).where("size(tokens) > 0")
+    units = units.withColumn("common", F.array_intersect("tokens", word_list)).where("size(common) > 0")
+    units = units.withColumn("own", summed("common")).withColumn("cut", F.when(F.col("unit") == 0, whole).otherwise(line))
+    likely = units.where(F.col("own") >= F.col("cut") * F.col("cut") * min(mass.values()) * (1 - 1e-9))
+    tried = F.array(*(F.struct(F.lit(r["template"]).alias("template"), F.lit(r["licence"]).alias("licence"), F.lit(mass[r["template"]]).alias("mass"), summed(F.array_intersect("common", F.array(*map(F.lit, r["tokens"])))).alias("cover")) for r in known))
+    able = F.filter(tried, lambda t: t["cover"] >= F.col("cut") * F.sqrt(F.col("own") * t["mass"]) * (1 - 1e-9))
+    likely = likely.withColumn("tried", able).where("size(tried) > 0").dropDuplicates(["key", "unit"])
+    likely = materialise(likely.select("key", "unit", "own", "cut", "tried", F.array_except("tokens", word_list).alias("others")).withColumn("id", F.monotonically_increasing_id()), "likely")
+    weight = F.log((1.0 + n_units) / (1.0 + F.col("df")))
+    others = likely.select("id", F.explode("others").alias("token")).join(dfs, "token").groupBy("id").agg(F.sum(weight * weight).alias("rest"))
+    massed = likely.join(others, "id", "left").withColumn("unit_mass", F.col("own") + F.coalesce("rest", F.lit(0.0)))
+    cosines = massed.select("key", "unit", "cut", "unit_mass", F.explode("tried").alias("t"))
+    cosines = cosines.withColumn("cosine", F.round(F.col("t.cover") / F.sqrt(F.col("unit_mass") * F.col("t.mass")), 6)).where("cosine >= cut")
+    best = F.min(F.struct((-F.col("cosine")).alias("minus"), "t.template", "t.licence")).alias("best")
+    own_best = cosines.groupBy("key").agg(best, F.max(F.col("unit") == 0).alias("is_file"))
+    own_best = materialise(own_best.select("key", F.col("key.path").alias("path"), F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"), "is_file"), "own")
 
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
     covers = own_best.where("is_file and path is not null").select(directory.alias("dir"), "licence", "cosine").groupBy("dir")
     covers = covers.agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best")).select(F.col("dir").alias("ancestor"), F.col("best.licence").alias("licence"))
-    bare = named.select("file_id", "path").withColumn("dir", directory)
+    bare = named.select("file_id", "path", key).withColumn("dir", directory)
     dirs = bare.where("dir is not null").select("dir").distinct()
     parts = "split(dir, '/')"
     up = F.expr(f"transform(sequence(0, size({parts})), k -> struct(-k as depth, array_join(slice({parts}, 1, k), '/') as ancestor))")
     ancestors = dirs.select("dir", F.explode(up).alias("a")).select("dir", "a.*").distinct()
     nearest = ancestors.join(covers, "ancestor").groupBy("dir").agg(F.min(F.struct("depth", "ancestor", "licence")).alias("near"))
     nearest = materialise(nearest.select("dir", F.col("near.ancestor").alias("from_dir"), F.col("near.licence").alias("dir_licence")), "nearest")
-    owned = own_best.select(F.col("file_id").alias("__id"), F.col("path").alias("__path"), "licence", "cosine", "is_file")
-    joined = bare.join(owned, F.col("file_id").eqNullSafe(F.col("__id")) & F.col("path").eqNullSafe(F.col("__path")), "left").join(nearest, "dir", "left")
+    owned = own_best.select(F.col("key").alias("__key"), "licence", "cosine", "is_file")
+    joined = bare.join(owned, F.col("key") == F.col("__key"), "left").join(nearest, "dir", "left")
     inherited = F.col("licence").isNull() & F.col("dir_licence").isNotNull()
     return joined.select(
         "file_id", "path", F.coalesce("licence", "dir_licence").alias("licence"), "cosine", F.coalesce("is_file", F.lit(False)).alias("is_file"), inherited.alias("inherited"), F.when(inherited, F.col("from_dir")).alias("from_dir")
@@ -127,26 +142,24 @@ def oracle_sql(templates=TEMPLATES) -> str:
     toks = lambda c: f"[x for x in list_distinct(regexp_split_to_array(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')) if x <> '']"
     return f"""
 with templates as (select template, licence, {toks("text")} as tokens from (values {rows}) as t(template, licence, text)),
-vocabulary as (select distinct unnest(tokens) as token from templates),
-files as (select doc_id as file_id, {PATH} as path, coalesce(text, '') as text from documents),
-pieces as (select file_id, path, unnest(list_concat([text], string_split(text, chr(10)))) as text, generate_subscripts(list_concat([text], string_split(text, chr(10))), 1) - 1 as unit from files),
-units as (select file_id, path, unit, {toks("text")} as tokens from pieces where len({toks("text")}) > 0),
+files as (select row_number() over () as rid, doc_id as file_id, {PATH} as path, coalesce(text, '') as text from documents),
+pieces as (select rid, unnest(list_concat([text], string_split(text, chr(10)))) as text, generate_subscripts(list_concat([text], string_split(text, chr(10))), 1) - 1 as unit from files),
+units as (select rid, unit, {toks("text")} as tokens from pieces where len({toks("text")}) > 0),
 total as (select count(*) as n from units),
-found as (select file_id, path, unit, len(tokens) as n_tokens, unnest(tokens) as token from units),
-dfs as (select token, count(*) as df from found join vocabulary using (token) group by token),
-idf as (select v.token, ln((1 + n) / (1 + coalesce(df, 0))) as idf from vocabulary v left join dfs using (token) cross join total),
-known as (select f.*, idf * idf as square from found f join idf using (token)),
-masses as (select file_id, path, unit, sum(square) + (max(n_tokens) - count(*)) * max(ln(1.0 + n) * ln(1.0 + n)) as mass from known cross join total group by file_id, path, unit),
+found as (select rid, unit, unnest(tokens) as token from units),
+idf as (select token, ln((1 + n) / (1 + count(*))) as idf from found cross join total group by token, n),
+masses as (select rid, unit, sum(idf * idf) as mass from found join idf using (token) group by rid, unit),
 posting as (select template, licence, unnest(tokens) as token from templates),
-template_mass as (select template, sum(idf * idf) as mass from posting join idf using (token) group by template),
-cosines as (select k.file_id, k.path, k.unit, p.template, p.licence, round(sum(k.square) / sqrt(max(m.mass) * max(t.mass)), 6) as cosine
-  from known k join posting p using (token) join masses m on m.file_id = k.file_id and m.unit = k.unit join template_mass t on t.template = p.template group by k.file_id, k.path, k.unit, p.template, p.licence),
-kept as (select *, row_number() over (partition by file_id, path order by cosine desc, template) as r, max(case when unit = 0 then 1 else 0 end) over (partition by file_id, path) = 1 as is_file
+weighed as (select template, licence, token, coalesce(idf, ln(1.0 + n)) as idf from posting left join idf using (token) cross join total),
+template_mass as (select template, sum(idf * idf) as mass from weighed group by template),
+cosines as (select f.rid, f.unit, w.template, w.licence, round(sum(w.idf * w.idf) / sqrt(max(m.mass) * max(t.mass)), 6) as cosine
+  from found f join weighed w using (token) join masses m on m.rid = f.rid and m.unit = f.unit join template_mass t on t.template = w.template group by f.rid, f.unit, w.template, w.licence),
+kept as (select *, row_number() over (partition by rid order by cosine desc, template) as r, max(case when unit = 0 then 1 else 0 end) over (partition by rid) = 1 as is_file
   from cosines where cosine >= case when unit = 0 then {FILE} else {LINE} end),
-own as (select file_id, path, licence, cosine, is_file from kept where r = 1),
+own as (select rid, path, licence, cosine, is_file from kept join files using (rid) where r = 1),
 covers as (select dir as ancestor, licence from (select regexp_replace(path, '/[^/]*$', '') as dir, licence, row_number() over (partition by regexp_replace(path, '/[^/]*$', '') order by cosine desc, licence) as r from own where is_file) where r = 1),
 dirs as (select distinct regexp_replace(path, '/[^/]*$', '') as dir from files),
 near as (select dir, ancestor, licence, row_number() over (partition by dir order by length(ancestor) desc) as r from dirs join covers on dir = ancestor or starts_with(dir, ancestor || '/'))
 select f.file_id as doc_id, f.path, coalesce(o.licence, n.licence) as licence, o.cosine, coalesce(o.is_file, false) as is_file, o.licence is null and n.licence is not null as inherited,
   case when o.licence is null and n.licence is not null then n.ancestor end as from_dir
-from files f left join own o on o.file_id = f.file_id left join near n on n.dir = regexp_replace(f.path, '/[^/]*$', '') and n.r = 1"""
+from files f left join own o on o.rid = f.rid left join near n on n.dir = regexp_replace(f.path, '/[^/]*$', '') and n.r = 1"""

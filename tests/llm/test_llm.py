@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -465,6 +466,44 @@ def test_licences_and_inheritance(spark, empty):
     assert licences.scan(none).count() == 0
 
 
+def slow_licences(files: list[tuple]) -> list[tuple]:
+    """Own licence and cosine of every row, from all units and all tokens."""
+    split = lambda t: {x for x in re.split("[^a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in t)) if x}
+    units = [[(k, split(u)) for k, u in enumerate([text or "", *(text or "").split("\n")]) if split(u)] for _, _, text in files]
+    df = Counter(t for row in units for _, tokens in row for t in tokens)
+    n = sum(map(len, units))
+    idf = lambda t: math.log((1 + n) / (1 + df[t]))
+    norm = lambda tokens: math.sqrt(sum(idf(t) ** 2 for t in tokens))
+    out = []
+    for row in units:
+        best = []
+        for k, tokens in row:
+            for name, licence, text in licences.TEMPLATES:
+                wanted = split(text)
+                cosine = round(sum(idf(t) ** 2 for t in tokens & wanted) / (norm(tokens) * norm(wanted)), 6)
+                if cosine >= (licences.FILE if k == 0 else licences.LINE):
+                    best.append((-cosine, name, licence))
+        out.append((min(best)[2], -min(best)[0]) if best else (None, None))
+    return out
+
+
+def test_licences_match_brute_force(spark):
+    """Repeated rows, two texts under one id, notices beside other words, and notices that many lines share."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        lines = [prose(ENGLISH, rng.randint(3, 12), k * 7 + j) for j in range(rng.randint(1, 4))]
+        if k % 3 == 0:
+            lines[rng.randrange(len(lines))] += " " + rng.choice(licences.TEMPLATES)[2]
+        rows.append((k, f"d{k}/f", "\n".join(lines)))
+    rows += [(70, "x/f", licences.TEMPLATES[1][2] + " in this file and all others of the tree")] * 4
+    rows += [(71, "y/f", licences.TEMPLATES[8][2]), (71, "y/f", "nothing here at all"), (None, None, None), (72, None, "")]
+    got = Counter((r.file_id, r.path, None if r.inherited else r.licence, r.cosine) for r in licences.scan(spark.createDataFrame(rows, "file_id long, path string, text string").repartition(4)).collect())
+    want = slow_licences(rows)
+    assert sum(x[0] is not None for x in want) > 15
+    assert got == Counter((i, p, licence, c) for (i, p, _), (licence, c) in zip(rows, want, strict=True))
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------
 
 
