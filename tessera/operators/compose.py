@@ -43,31 +43,41 @@ BLEND_ALPHA = "1 - (1 - fa) * (1 - ba)"
 
 
 def composite(canvas: DataFrame, frame: DataFrame, mode: str, x0: int, y0: int) -> DataFrame:
-    """canvas (y, x, b, ba) under frame (y, x, f, fa) placed at (x0, y0): y, x, v, a. Uncovered samples stay."""
-    over = frame.select((F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "f", "fa")
-    met = canvas.join(over, ["y", "x"], "left")
+    """canvas (img, y, x, b, ba) under frame (img, y, x, f, fa) placed at (x0, y0): img, y, x, v, a. Uncovered samples stay."""
+    over = frame.select("img", (F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "f", "fa")
+    met = canvas.join(over, ["img", "y", "x"], "left")
     covered = F.col("f").isNotNull()
     alpha = F.expr(BLEND_ALPHA) if mode == "blend" else F.col("fa") if mode == "replace" else F.col("ba")
-    return met.select("y", "x", F.when(covered, F.expr(BLEND[mode])).otherwise(F.col("b")).alias("v"), F.when(covered, alpha).otherwise(F.col("ba")).alias("a"))
+    return met.select("img", "y", "x", F.when(covered, F.expr(BLEND[mode])).otherwise(F.col("b")).alias("v"), F.when(covered, alpha).otherwise(F.col("ba")).alias("a"))
 
 
 def blit(canvas: DataFrame, source: DataFrame, patches: DataFrame) -> DataFrame:
-    """Draws rectangles of source (sy, sx, f) on canvas (y, x, b): the last patch in dictionary order wins.
+    """Draws rectangles of source (img, sy, sx, f) on canvas (img, y, x, b): the last patch in dictionary order wins.
 
-    patches: n, sx0, sy0, w, h, x, y. A rectangle is opened into its samples, so the range join becomes an
-    equality join; of samples drawn more than once the last is chosen before the canvas is met.
+    patches: img, n, sx0, sy0, w, h, x, y. A rectangle is opened into its samples, so the range join becomes an equality
+    join. Samples that draw one source on one place are summed up first, inside each task, so patches that cover each
+    other don't multiply what is shuffled. The opened side is never broadcast: its size isn't that of the table of patches.
     """
-    spots = patches.select("n", "sx0", "sy0", "x", "y", F.explode(F.expr("sequence(0, h - 1)")).alias("dy"), "w").select("*", F.explode(F.expr("sequence(0, w - 1)")).alias("dx"))
-    drawn = spots.select("n", (F.col("sy0") + F.col("dy")).alias("sy"), (F.col("sx0") + F.col("dx")).alias("sx"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).join(source, ["sy", "sx"])
-    last = drawn.groupBy("y", "x").agg(F.max_by("f", "n").alias("f"))
-    return canvas.join(last, ["y", "x"], "left").select("y", "x", F.coalesce("f", "b").alias("v"))
+    spots = patches.select("img", "n", "sx0", "sy0", "x", "y", F.explode(F.expr("sequence(0, h - 1)")).alias("dy"), "w").select("*", F.explode(F.expr("sequence(0, w - 1)")).alias("dx"))
+    spots = spots.select("img", "n", (F.col("sy0") + F.col("dy")).alias("sy"), (F.col("sx0") + F.col("dx")).alias("sx"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    spots = spots.groupBy("img", "sy", "sx", "y", "x").agg(F.max("n").alias("n"))
+    drawn = spots.hint("merge").join(source, ["img", "sy", "sx"])
+    last = drawn.groupBy("img", "y", "x").agg(F.max_by("f", "n").alias("f"))
+    return canvas.hint("merge").join(last, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("f", "b").alias("v"))
 
 
 def orient(px: DataFrame, orientation: int, width: int | str, height: int | str) -> DataFrame:
-    """px (y, x, v) as displayed under one of the eight orientations."""
+    """px (img, y, x, v) as displayed under one of the eight orientations."""
     right, low = f"({width} - 1 - x)", f"({height} - 1 - y)"
     to = destinations(right, low)[orientation]
-    return px.select(F.expr(to[1]).alias("y"), F.expr(to[0]).alias("x"), "v")
+    return px.select("img", F.expr(to[1]).alias("y"), F.expr(to[0]).alias("x"), "v")
+
+
+def orientations(px: DataFrame, width: str, height: str) -> DataFrame:
+    """px as displayed under each of the eight orientations, in one pass: orientation, img, y, x, v."""
+    to = destinations(f"({width} - 1 - x)", f"({height} - 1 - y)")
+    each = F.array(*(F.struct(F.lit(k).alias("orientation"), F.expr(row).cast("long").alias("y"), F.expr(column).cast("long").alias("x")) for k, (column, row) in to.items()))
+    return px.select("img", "v", F.explode(each).alias("at")).select("at.orientation", "img", "at.y", "at.x", "v")
 
 
 def destinations(right: str, low: str) -> dict[int, tuple[str, str]]:
@@ -76,9 +86,9 @@ def destinations(right: str, low: str) -> dict[int, tuple[str, str]]:
 
 
 def spot(colours: DataFrame, ink: DataFrame, value: float, scale: float) -> DataFrame:
-    """colours (y, x, v) under an ink plane (y, x, s) of one colour: mix * value + (1 - mix) * v."""
+    """colours (img, y, x, v) under an ink plane (img, y, x, s) of one colour: mix * value + (1 - mix) * v."""
     mix = F.col("s") * F.lit(scale)
-    return colours.join(ink, ["y", "x"]).select("y", "x", (mix * F.lit(value) + (1 - mix) * F.col("v")).alias("v"))
+    return colours.join(ink, ["img", "y", "x"]).select("img", "y", "x", (mix * F.lit(value) + (1 - mix) * F.col("v")).alias("v"))
 
 
 def prefix_twice(deltas: DataFrame, group: str, order: str, value: str) -> DataFrame:

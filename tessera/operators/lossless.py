@@ -52,29 +52,34 @@ def token_histogram(tokened: DataFrame, *keys: str) -> DataFrame:
 
 
 def colour_transform(rgb: DataFrame, kind: int, inverse: bool = False) -> DataFrame:
-    """y, x and the three transformed planes."""
+    """img, y, x and the three transformed planes."""
     made = (integer.rct_inverse if inverse else integer.rct_forward)(SPARK, kind)
-    return rgb.select("y", "x", *(F.expr(e).alias(f"c{k}") for k, e in enumerate(made)))
+    return rgb.select("img", "y", "x", *(F.expr(e).alias(f"c{k}") for k, e in enumerate(made)))
 
 
 def colour_search(rgb: DataFrame, kinds: list[int]) -> DataFrame:
-    """kind and cost (bits of the zig-zagged horizontal differences) of each transform; the least cost wins.
+    """img, kind and cost (bits of the zig-zagged horizontal differences) of each transform; the least cost wins.
 
     The transforms become columns of one pass over rows of samples, and the cost table has a row for each kind.
     """
     made = []
     for kind in kinds:
         made += [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("plane"), F.expr(e).alias("v")) for k, e in enumerate(integer.rct_forward(SPARK, kind))]
-    each = rgb.select("y", "x", F.explode(F.array(*made)).alias("t")).select("y", "x", "t.*")
-    before = F.lag("v", 1, 0).over(Window.partitionBy("y", "kind", "plane").orderBy("x"))
+    each = rgb.select("img", "y", "x", F.explode(F.array(*made)).alias("t")).select("img", "y", "x", "t.*")
+    before = F.lag("v", 1, 0).over(Window.partitionBy("img", "y", "kind", "plane").orderBy("x"))
     tokened = tokens(each.withColumn("d", F.col("v") - before), "d")
-    return entropy(token_histogram(tokened, "kind", "plane"), "kind", "plane").groupBy("kind").agg(F.round(F.sum(F.col("entropy_bits") + F.col("extra_bits")), 2).alias("cost"))
+    return entropy(token_histogram(tokened, "img", "kind", "plane"), "img", "kind", "plane").groupBy("img", "kind").agg(F.round(F.sum(F.col("entropy_bits") + F.col("extra_bits")), 2).alias("cost"))
 
 
-def palette(rgb: DataFrame, colours: list[str]) -> DataFrame:
-    """The different colours with their index in lexicographic order. Meant for planes of few colours."""
-    different = rgb.groupBy(*colours).agg(F.count(F.lit(1)).alias("n"))
-    return different.withColumn("idx", F.row_number().over(Window.orderBy(*colours)) - 1)
+def palette(rgb: DataFrame, colours: list[str], most: int = 256) -> DataFrame:
+    """img and its different colours with their index in lexicographic order, of the images that have up to `most` of them.
+
+    An image with more has no palette and no rows; its colours are left out before any is sorted, so a window holds
+    `most` rows at most.
+    """
+    different = rgb.groupBy("img", *colours).agg(F.count(F.lit(1)).alias("n"))
+    few = different.groupBy("img").agg(F.count(F.lit(1)).alias("__kinds")).where(F.col("__kinds") <= most).select("img")
+    return different.join(few, "img", "left_semi").withColumn("idx", F.row_number().over(Window.partitionBy("img").orderBy(*colours)) - 1)
 
 
 def squeeze_rows(rows: DataFrame) -> DataFrame:

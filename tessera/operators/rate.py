@@ -44,10 +44,10 @@ def edge_preserving(rows: DataFrame, inverse_sigma: float, border: float = 2.0 /
 
 
 def expected_nonzeros(blocks: DataFrame) -> DataFrame:
-    """blocks (brow, bcol, nz) with pred: mean of the left and upper counts, or the one there is, or 32."""
-    left = F.lag("nz").over(Window.partitionBy("brow").orderBy("bcol"))
-    above = blocks.select((F.col("brow") + 1).alias("brow"), "bcol", F.col("nz").alias("above"))
-    met = blocks.withColumn("left", left).join(above, ["brow", "bcol"], "left")
+    """blocks (img, c, brow, bcol, nz) with pred: mean of the left and upper counts, or the one there is, or 32."""
+    left = F.lag("nz").over(Window.partitionBy("img", "c", "brow").orderBy("bcol"))
+    above = blocks.select("img", "c", (F.col("brow") + 1).alias("brow"), "bcol", F.col("nz").alias("above"))
+    met = blocks.withColumn("left", left).join(above, ["img", "c", "brow", "bcol"], "left")
     return met.withColumn("pred", F.expr("coalesce((above + left + 1) div 2, left, above, 32)")).drop("left", "above")
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def distortion(a: DataFrame, b: DataFrame, top: float = 255.0) -> DataFrame:
-    """n, sse, psnr (null for equal planes), rms and peak of two planes (y, x, v)."""
+    """img, n, sse, psnr (null for equal planes), rms and peak of the planes (img, y, x, v) of each image."""
     d = (F.col("v").cast("double") - F.col("w").cast("double")) / F.lit(top)
-    met = a.join(b.withColumnRenamed("v", "w"), ["y", "x"]).select(d.alias("d"))
+    met = a.join(b.withColumnRenamed("v", "w"), ["img", "y", "x"]).select("img", d.alias("d"))
     mean = F.avg(F.col("d") * F.col("d"))
-    return met.agg(
+    return met.groupBy("img").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum(F.col("d") * F.col("d")), 6).alias("sse"),
         F.round(F.when(mean > 0, -10 * F.log10(mean)), 6).alias("psnr"),

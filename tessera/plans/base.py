@@ -17,11 +17,11 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every three rows of the plane as the three channels of one row: y, x, c0, c1, c2."""
-    rows = plane(spark, sf_dir).select(F.expr("y div 3").alias("y"), (F.col("y") % 3).alias("c"), "row")
+    """Every three rows of the plane as the three channels of one row: img, y, x, c0, c1, c2."""
+    rows = plane(spark, sf_dir).select("img", F.expr("y div 3").alias("y"), (F.col("y") % 3).alias("c"), "row")
     held = [F.first(F.when(F.col("c") == k, F.col("row")), ignorenulls=True).alias(f"r{k}") for k in range(3)]
-    full = rows.groupBy("y").agg(*held).where("r0 is not null and r1 is not null and r2 is not null")
-    return full.select("y", F.posexplode(F.arrays_zip("r0", "r1", "r2")).alias("x", "s")).select("y", F.col("x").cast("long").alias("x"), *(F.col(f"s.r{k}").alias(f"c{k}") for k in range(3)))
+    full = rows.groupBy("img", "y").agg(*held).where("r0 is not null and r1 is not null and r2 is not null")
+    return full.select("img", "y", F.posexplode(F.arrays_zip("r0", "r1", "r2")).alias("x", "s")).select("img", "y", F.col("x").cast("long").alias("x"), *(F.col(f"s.r{k}").alias(f"c{k}") for k in range(3)))
 
 
 def pixels(rows: DataFrame) -> DataFrame:

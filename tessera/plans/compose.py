@@ -45,7 +45,7 @@ OVER = "c2 / cast(255.0 as double) as f, (255 - c1) / cast(255.0 as double) as f
 def _composite(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rgb = base.rgb(spark, d)
-        made = compose.composite(rgb.selectExpr("y", "x", *_split(CANVAS)), rgb.selectExpr("y", "x", *_split(OVER)), mode, 16, 5)
+        made = compose.composite(rgb.selectExpr("img", "y", "x", *_split(CANVAS)), rgb.selectExpr("img", "y", "x", *_split(OVER)), mode, 16, 5)
         return made.select("y", "x", F.round("v", 6).alias("v"), F.round("a", 6).alias("a"))
 
     return run
@@ -62,25 +62,21 @@ PATCHES = "p_partkey as n, p_partkey % 5 as sx0, p_partkey % 7 as sy0, 3 + p_par
 
 def patch_blit(spark: SparkSession, d: str) -> DataFrame:
     px = base.rgb(spark, d)
-    patches = base.table(spark, d, "part").selectExpr(*_split(PATCHES))
-    made = compose.blit(px.select("y", "x", F.col("c0").alias("b")), px.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("c1").alias("f")), patches)
+    patches = base.table(spark, d, "part").selectExpr("0 as img", *_split(PATCHES))
+    made = compose.blit(px.select("img", "y", "x", F.col("c0").alias("b")), px.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("c1").alias("f")), patches)
     return made.select("y", "x", "v")
 
 
 def spot_render(spark: SparkSession, d: str) -> DataFrame:
     rgb = base.rgb(spark, d)
-    made = compose.spot(rgb.selectExpr("y", "x", "c0 / cast(255.0 as double) as v"), rgb.selectExpr("y", "x", "c1 / cast(255.0 as double) as s"), 0.25, 0.8)
+    made = compose.spot(rgb.selectExpr("img", "y", "x", "c0 / cast(255.0 as double) as v"), rgb.selectExpr("img", "y", "x", "c1 / cast(255.0 as double) as s"), 0.25, 0.8)
     return made.select("y", "x", F.round("v", 6).alias("v"))
 
 
 def orientation_remap(spark: SparkSession, d: str) -> DataFrame:
-    px = base.rgb(spark, d).select("y", "x", F.col("c0").alias("v"))
-    height = base.table(spark, d, "embeddings").count() // 3
-    out = None
-    for k in range(1, 9):
-        one = compose.orient(px, k, 64, height).select(F.lit(k).alias("orientation"), "y", "x", "v")
-        out = one if out is None else out.unionByName(one)
-    return out
+    px = base.rgb(spark, d).select("img", "y", "x", F.col("c0").alias("v"))
+    height = base.table(spark, d, "embeddings").agg(F.expr("count(*) div 3").alias("h"))
+    return compose.orientations(px.crossJoin(F.broadcast(height)), "64", "h").select("orientation", "y", "x", "v")  # one row of heights
 
 
 def canvas_quantise(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ def hybrid_uint_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _colour(kind: int, inverse: bool):
-    return lambda spark, d: lossless.colour_transform(base.rgb(spark, d), kind, inverse)
+    return lambda spark, d: lossless.colour_transform(base.rgb(spark, d), kind, inverse).drop("img")
 
 
 def _colour_sql(kind: int, inverse: bool) -> str:
@@ -63,17 +63,11 @@ def _colour_sql(kind: int, inverse: bool) -> str:
 
 def rct_round_trips(spark: SparkSession, d: str) -> DataFrame:
     """Every transform, forward and back: rows that changed, and a checksum of the forward planes."""
-    rgb = base.rgb(spark, d)
-    each = []
-    for kind in range(42):
-        there = rgb.select("y", "x", *(F.col(f"c{k}").alias(f"o{k}") for k in range(3)), *(F.expr(e).alias(f"c{k}") for k, e in enumerate(integer.rct_forward(SPARK, kind))))
-        back = [F.expr(e) for e in integer.rct_inverse(SPARK, kind)]
-        changed = F.sum(((back[0] != F.col("o0")) | (back[1] != F.col("o1")) | (back[2] != F.col("o2"))).cast("long"))
-        each.append(there.agg(changed.alias("changed"), F.sum(F.col("c0") + 3 * F.col("c1") + 7 * F.col("c2")).alias("checksum")).select(F.lit(kind).alias("kind"), "changed", "checksum"))
-    out = each[0]
-    for one in each[1:]:
-        out = out.unionByName(one)
-    return out
+    there = [F.struct(F.lit(kind).alias("kind"), *(F.expr(e).alias(f"c{k}") for k, e in enumerate(integer.rct_forward(SPARK, kind)))) for kind in range(42)]
+    made = base.rgb(spark, d).select(F.struct(*(F.col(f"c{k}").cast("long").alias(f"o{k}") for k in range(3))).alias("o"), F.explode(F.array(*there)).alias("t")).select("o", "t.*")
+    back = [F.struct(*(F.expr(e).alias(f"o{k}") for k, e in enumerate(integer.rct_inverse(SPARK, kind)))) for kind in range(42)]
+    changed = F.coalesce(*(F.when(F.col("kind") == kind, one != F.col("o")) for kind, one in enumerate(back)))
+    return made.groupBy("kind").agg(F.sum(changed.cast("long")).alias("changed"), F.sum(F.col("c0") + 3 * F.col("c1") + 7 * F.col("c2")).alias("checksum"))
 
 
 def _round_trip_sql() -> str:
@@ -85,7 +79,7 @@ def _round_trip_sql() -> str:
 
 
 def rct_type_search(spark: SparkSession, d: str) -> DataFrame:
-    return lossless.colour_search(base.rgb(spark, d), MIXES)
+    return lossless.colour_search(base.rgb(spark, d), MIXES).drop("img")
 
 
 def _search_sql() -> str:
@@ -101,16 +95,16 @@ COARSE = [f"shiftright(c{k}, 5) as q{k}" for k in range(3)]
 
 
 def palette_distinct(spark: SparkSession, d: str) -> DataFrame:
-    coarse = base.rgb(spark, d).selectExpr(*COARSE)
-    return lossless.palette(coarse, ["q0", "q1", "q2"]).withColumn("idx", F.col("idx").cast("long"))
+    coarse = base.rgb(spark, d).selectExpr("img", *COARSE)
+    return lossless.palette(coarse, ["q0", "q1", "q2"], 512).drop("img").withColumn("idx", F.col("idx").cast("long"))
 
 
 def palette_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The index plane joined back with its palette: pixels for each colour that come out as they went in."""
-    coarse = base.rgb(spark, d).selectExpr("y", "x", *COARSE)
-    table = lossless.palette(coarse, ["q0", "q1", "q2"]).select("idx", "q0", "q1", "q2")
-    indexed = coarse.join(table, ["q0", "q1", "q2"]).select("y", "x", "idx")
-    return indexed.join(table, "idx").groupBy("q0", "q1", "q2").agg(F.count(F.lit(1)).alias("n"))
+    coarse = base.rgb(spark, d).selectExpr("img", "y", "x", *COARSE)
+    table = lossless.palette(coarse, ["q0", "q1", "q2"], 512).select("img", "idx", "q0", "q1", "q2")
+    indexed = coarse.join(table, ["img", "q0", "q1", "q2"]).select("img", "y", "x", "idx")
+    return indexed.join(table, ["img", "idx"]).groupBy("q0", "q1", "q2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def palette_lookup_implicit(spark: SparkSession, d: str) -> DataFrame:

@@ -26,7 +26,7 @@ def edge_preserving(spark: SparkSession, d: str) -> DataFrame:
 
 def nonzero_prediction(spark: SparkSession, d: str) -> DataFrame:
     coeff = filters.forward_dct(base.plane(spark, d))
-    counted = coeff.groupBy("brow", F.col("bcol").cast("long").alias("bcol")).agg(F.sum((F.abs("f") > 4.00001).cast("long")).alias("nz"))
+    counted = coeff.groupBy("img", "c", "brow", F.col("bcol").cast("long").alias("bcol")).agg(F.sum((F.abs("f") > 4.00001).cast("long")).alias("nz"))
     return rate.expected_nonzeros(counted).select("brow", "bcol", "nz", "pred")
 
 
@@ -75,7 +75,7 @@ def frame_score(spark: SparkSession, d: str) -> DataFrame:
     """Squared error and coded bits of the three RCT-coded planes together: sse + lambda * step^2 * bytes."""
     bits = lossless.entropy(lossless.token_histogram(lossless.tokens(lossless.residuals(base.plane(spark, d)), "res")))
     rgb = base.rgb(spark, d)
-    sse = statistics.distortion(rgb.select("y", "x", F.col("c0").alias("v")), rgb.select("y", "x", F.col("c2").alias("v"))).select("sse")
+    sse = statistics.distortion(rgb.select("img", "y", "x", F.col("c0").alias("v")), rgb.select("img", "y", "x", F.col("c2").alias("v"))).select("sse")
     met = sse.crossJoin(F.broadcast(bits))  # one row each
     return met.select(F.round(F.col("sse") + 0.1 * 0.25 * (F.col("entropy_bits") + F.col("extra_bits")) / 8, 4).alias("score"))
 

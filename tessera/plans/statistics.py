@@ -12,7 +12,7 @@ from . import base
 
 def psnr(spark: SparkSession, d: str) -> DataFrame:
     rgb = base.rgb(spark, d)
-    return statistics.distortion(rgb.select("y", "x", F.col("c0").alias("v")), rgb.select("y", "x", F.col("c1").alias("v")))
+    return statistics.distortion(rgb.select("img", "y", "x", F.col("c0").alias("v")), rgb.select("img", "y", "x", F.col("c1").alias("v"))).drop("img")
 
 
 POINTS = "o_orderpriority as img, 1 + o_custkey * 37 % 4001 as size, cast(round(o_totalprice) as bigint) % 1000 / cast(10.0 as double) as quality"
