@@ -158,8 +158,18 @@ def hexadecimal(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, or one of them where rows repeat."""
+def first_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One document of each component: the one with the smallest doc_id, or one of them where rows repeat.
+
+    Links are fingerprints within the radius, or, with `similarity` (a fraction), sets of shingles whose Jaccard
+    similarity is that or more. Sets at 0.8 have fingerprints up to 11 bits and more apart. Pigeonhole blocks for so
+    many differing bits would have 5 bits each, and every fingerprint shares such a block with most others, so those
+    links come from `nearsets`, where sets meet by shingles instead of by parts of a fingerprint.
+    """
+    if similarity:
+        from . import nearsets
+
+        return nearsets.first_of_each(docs, words, similarity)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
     whole = materialise(docs.withColumns({"__row": row, "__fp": fingerprints(words, seed)("text")}), "printed")
     groups = classed(whole.select(F.col("__fp").alias("fp"), F.col("__row").alias("row")), "row")
