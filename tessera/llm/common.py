@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: A run of letters: characters of the Unicode categories L*. Digits, fractions and signs that look like letters aren't.
+LETTERS = regex.compile(r"\p{L}+")
+
 _roots: dict[str, str] = {}
 
 
@@ -33,11 +37,25 @@ def text_of(value) -> str:
     return value.decode("utf-8", "replace") if isinstance(value, bytes | bytearray | memoryview) else value
 
 
+def letter_words(text: str | None) -> list[str]:
+    """The runs of letters, in lower case. They are found before the case changes, so there is one for each span of it."""
+    found = LETTERS.findall(text_of(text))
+    return "\n".join(found).lower().split("\n") if found else []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir, or under a local folder where that is unset."""
+    """A folder of this application under spark.checkpoint.dir.
+
+    Where that is unset, a session in one process (local mode, as in tests) gets a local folder; on a cluster that is
+    an error, since executors don't see each other's folders.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="tessera-")
         _roots[app] = f"{base.rstrip('/')}/tessera-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_clear, spark, _roots[app])
     return _roots[app]
@@ -92,16 +110,25 @@ def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows:
     return placed.withColumn("__rank", F.col("__start") + F.col("__local")).drop("__bucket", "__local", "__start")
 
 
-def thinned(rows: DataFrame, per_class: int, most_classes: int = 256) -> tuple[DataFrame, dict]:
-    """About `per_class` rows of each `label`, drawn by a hash of doc_id, and the rows of each label in all.
+def thinned(rows: DataFrame, per_class: int, by: tuple[str, ...] = ("doc_id",), most_classes: int = 256) -> tuple[DataFrame, dict]:
+    """At most `per_class` rows of each `label`, drawn by a hash of the columns `by`, and the rows of each label in all.
 
-    rows: doc_id, label and more. A class is thinned by the share that leaves per_class of it on average; the
-    `most_classes` most frequent labels take part. So the result's size doesn't grow with the table.
+    A class is thinned by the share that leaves per_class of it, then rows alike in `by` are taken once and the first
+    per_class by the hash are kept, so the size doesn't grow with the table, however many rows share an id or a text.
+    The `most_classes` most frequent labels take part; the others teach nothing.
     """
     counted = rows.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["label"]: r["n"] for r in counted.orderBy(F.desc("n"), "label").limit(most_classes).collect()}
     if not counts:
         return rows.where("false"), {}
     scale = 1 << 40
-    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * per_class // n))))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < shares[F.col("label")]), counts
+    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * per_class * 5 // (4 * n)))))
+    drawn = rows.withColumn("__draw", F.xxhash64(*by, F.lit("sample"))).where(F.pmod("__draw", F.lit(scale)) < shares[F.col("label")])
+    return first_drawn(drawn, "__draw", per_class), counts
+
+
+def first_drawn(rows: DataFrame, draw: str, per_class: int) -> DataFrame:
+    """The per_class rows of each label with the smallest values of the column `draw`, which goes; equal values count once."""
+    once = rows.dropDuplicates(["label", draw])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(draw))
+    return once.withColumn("__place", place).where(F.col("__place") <= per_class).drop("__place", draw)

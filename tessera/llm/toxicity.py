@@ -11,14 +11,15 @@ for each letter, and for each word, the part of its log ratio beyond MARGIN. The
 ratios that languages and topics have when they aren't spread alike over the classes, which add up in long
 texts. A logistic curve, fitted on training texts that the counts have not seen, turns both into a score.
 
-The models are fitted on a bounded sample of labelled rows (`per_class` of each class). Null and empty texts
-and texts without words have evidence 0 and get the score of that. Repeated rows are scored alike. Without
-labels of both classes every score is 0.
+The models are fitted on a bounded sample of labelled rows (at most `per_class` of each class). Words are runs of
+letters. Null and empty texts and texts without words have evidence 0 and get the score of that. Texts of any length
+are scored whole. Repeated rows are scored alike and teach once; an id with both labels is toxic, null labels and null
+ids teach nothing. Equal scores have no order. Without labels of both classes every score is 0; an empty table gives
+an empty result. Columns besides those read never meet the operator's own.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import Letters
-from .common import documents_only, in_fold, text_of, thinned
+from .common import documents_only, first_drawn, in_fold, letter_words, thinned
 
 PER_CLASS, ORDER, CUT = 2000, 6, 0.3
 #: In nats: a word that is this much likelier in toxic texts is an expression of its own.
 MARGIN = 4.0
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters scored at once; bounds a worker's memory.
 AT_ONCE = 2_000_000
 
@@ -65,10 +65,6 @@ class Ratios:
         return np.bincount(word, value, len(words)), np.bincount(word, minlength=len(words)).astype(float)
 
 
-def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text_of(text).lower())
-
-
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, their summed weights, and the first place of each."""
     unique, first, at = np.unique(keys, return_index=True, return_inverse=True)
@@ -166,8 +162,21 @@ def _logistic(design: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float
     return w / scale
 
 
+def _counted(words: list[list[str]], y: np.ndarray, take: np.ndarray) -> tuple[Counter, Counter]:
+    """How often each word occurs in the ordinary and in the toxic texts among those to take."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for k in np.flatnonzero(take):
+        counts[int(y[k])].update(words[k])
+    return counts
+
+
+def _both(words: list[list[str]], y: np.ndarray, take: np.ndarray) -> bool:
+    return all(any(words[k] for k in np.flatnonzero(take & (y == label))) for label in (0, 1))
+
+
 def fit(sample: pd.DataFrame, odds: float | None = None) -> Ratios:
-    """sample: label (0 or 1) and text. Two thirds of the texts are counted, the others fit the curve.
+    """sample: label (0 or 1) and text. The counts come from all texts; the curve is fitted on the evidence that each
+    third of the texts has from counts of the other two.
 
     odds: of a toxic text among all labelled ones, where the sample is thinned by class.
     """
@@ -179,18 +188,20 @@ def fit(sample: pd.DataFrame, odds: float | None = None) -> Ratios:
     turn = np.zeros(len(y), int)
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum()) % 3
-    counted: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label, k in zip(texts, y, turn, strict=True):
-        if k:
-            counted[int(label)].update(words_of(text))
-    if not (counted[0] and counted[1]):
+    words = [letter_words(text) for text in texts]
+    parts, order = [], []
+    for held in range(3):
+        ratios = fit_ratios(_counted(words, y, turn != held)) if _both(words, y, turn != held) else Ratios()
+        at = np.flatnonzero(turn == held)
+        parts += [evidence(ratios, [words[k] for k in at[i : i + 100]]) for i in range(0, len(at), 100)]
+        order.append(at)
+    if not _both(words, y, turn >= 0):
         return Ratios()
-    ratios = fit_ratios(counted)
-    held = np.flatnonzero(turn == 0)
-    parts = [evidence(ratios, [words_of(texts[k]) for k in held[at : at + 100]]) for at in range(0, len(held), 100)]
-    curve = _logistic(_design(np.concatenate(parts)), y[held])
+    ratios = fit_ratios(_counted(words, y, turn >= 0))
+    seen = np.concatenate(order)
+    curve = _logistic(_design(np.concatenate(parts)), y[seen])
     if odds:
-        curve[0] += np.log(odds) - np.log(y[held].sum() / (1 - y[held]).sum())
+        curve[0] += np.log(odds) - np.log(y.sum() / (1 - y).sum())
     ratios.curve = tuple(curve)
     return ratios
 
@@ -205,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Rat
     drawn, n = thinned(marked.agg(F.max("toxic").cast("string").alias("label")), per_class)
     drawn = drawn.select(F.col("doc_id").alias("__id"), "label")
     rows = documents_only(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
-    sample = rows.select("label", "text").toPandas().sort_values(["label", "text"], ignore_index=True)
+    # An id may have many texts; the sample stays at per_class of each class.
+    few = first_drawn(rows.withColumn("__draw", F.xxhash64("doc_id", "text")), "__draw", per_class)
+    sample = few.select("label", "text").toPandas().sort_values(["label", "text"], ignore_index=True)
     odds = n["1"] / n["0"] if n.get("0") and n.get("1") else None
     return fit(sample.assign(label=sample["label"].astype(int)), odds)
 
@@ -217,7 +230,7 @@ def score(docs: DataFrame, ratios: Ratios) -> DataFrame:
         for batch in batches:
             texts, start, n = [], 0, 0
             for k, text in enumerate(batch["text"]):
-                texts.append(words_of(text))
+                texts.append(letter_words(text))
                 n += sum(map(len, texts[-1]))
                 if n > AT_ONCE or k == len(batch) - 1:
                     x = evidence(ratios, texts)

@@ -113,6 +113,29 @@ def test_language_spans_of_switched_text(spark, docs):
     assert all(0 <= s["start"] < s["end"] <= len(text) for s in one["spans"])
 
 
+def test_language_needs_letters(spark, docs):
+    model = crf.train(docs.where("doc_id < 60"), 40)
+    texts = ["½ ² ①", "Ⅷ ³ ٣", "İzmir İzmir hello world der hund", "x½y ok", "ﬀ ſ"]
+    rows = {r.doc_id: r for r in crf.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=True, keep=("doc_id",)).collect()}
+    assert [rows[k].lang_pred == "und" for k in range(5)] == [True, True, False, False, False]
+    assert rows[0].score == 0 and not rows[0].spans
+    assert rows[2].spans[0]["start"] == 0 and rows[2].spans[-1]["end"] == len(texts[2])
+    words = common.letter_words(texts[2])
+    assert [w for w in words[2:]] == ["hello", "world", "der", "hund"] and len(words) == 6
+    posterior = np.eye(len(model.labels))[[0, 0, 1, 1, 0, 0]]
+    assert crf.runs_of(texts[2], model.labels, posterior) == [(0, 11, model.labels[0]), (12, 23, model.labels[1]), (24, 32, model.labels[0])]
+
+
+def test_samples_are_bounded(spark):
+    """Whatever shares an id or a text, and the same rows whatever the partitions."""
+    rows = [(None, "a", f"t{k}") for k in range(300)] + [(7, "a", "same")] * 200 + [(k, "b", f"u{k}") for k in range(50)] + [(1, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, label string, text string")
+    got = [sorted(map(tuple, common.thinned(df.repartition(n), 20, ("doc_id", "text"))[0].collect()), key=repr) for n in (1, 7)]
+    assert got[0] == got[1]
+    assert Counter(r[1] for r in got[0])["a"] <= 20 and Counter(r[1] for r in got[0])["b"] == 20
+    assert common.thinned(df, 20)[1] == {"a": 500, "b": 50}
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------
 
 
@@ -123,6 +146,60 @@ def test_shared_backoff_is_normalised():
     assert total[0] > 0 > total[1] and abs(total[2]) < total[0]  # only the first letter of zzzz has a known history
 
 
+def slow_kneser_ney(by_class: tuple[Counter, Counter]):
+    """P(letter | history) of each class, by the definitions, and the alphabet."""
+    spelled = {w: ["<", *w, ">"] for w in by_class[0] + by_class[1]}
+    alphabet = {c for codes in spelled.values() for c in codes}
+    gram = lambda codes, i, k: (tuple(codes[max(0, i - k + 1) : i]), codes[i])
+
+    def discount(counts: Counter, usual: float) -> float:
+        ones, twos = (sum(n == m for n in counts.values()) for m in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else usual
+
+    def level(counts: Counter, d: float, below):
+        total, kinds = Counter(), Counter()
+        for (h, _), n in counts.items():
+            total[h] += n
+            kinds[h] += 1
+
+        def p(h, c, back):
+            if not total[h]:
+                return below(back, c)
+            return max(counts[h, c] - d, 0) / total[h] + d * kinds[h] / total[h] * below(back, c)
+
+        return p
+
+    below = lambda h, c: 1 / max(2, len(alphabet))
+    for k in range(1, toxicity.ORDER):
+        follows = {(gram(codes, i, k), gram(codes, i, k + 1)) for codes in spelled.values() for i in range(1, len(codes))}
+        counts = Counter(g for g, _ in follows)
+        one = level(counts, discount(counts, 0.5), below)
+        below = lambda h, c, one=one, k=k: one(h[max(0, len(h) - k + 1) :], c, h)
+    out = []
+    for words in by_class:
+        counts = Counter()
+        for w, n in words.items():
+            for i in range(1, len(spelled[w])):
+                counts[gram(spelled[w], i, toxicity.ORDER)] += n
+        one = level(counts, discount(counts, 0.75), below)
+        out.append(lambda h, c, one=one: one(h, c, h))
+    return out, alphabet, spelled, gram
+
+
+def test_kneser_ney_matches_its_definition():
+    by_class = Counter({"alpha": 5, "beta": 3, "alphabet": 2, "bet": 1}), Counter({"scum": 4, "alpha": 2, "scumbag": 1, "betas": 1})
+    p, alphabet, spelled, gram = slow_kneser_ney(by_class)
+    for codes in spelled.values():
+        for i in range(1, len(codes)):
+            history = gram(codes, i, toxicity.ORDER)[0]
+            for one in p:
+                assert abs(sum(one(history, c) for c in alphabet) - 1) < 1e-9
+    got, letters = toxicity.fit_ratios(by_class).of_words(list(spelled))
+    for w, total, n in zip(spelled, got, letters, strict=True):
+        grams = [gram(spelled[w], i, toxicity.ORDER) for i in range(1, len(spelled[w]))]
+        assert n == len(grams) and abs(total - sum(math.log(p[1](*g)) - math.log(p[0](*g)) for g in grams)) < 1e-9
+
+
 def test_toxicity_separates_and_covers_odd_inputs(spark, docs, empty):
     rows, marks = [], []
     for k in range(240):
