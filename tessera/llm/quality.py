@@ -6,13 +6,17 @@ addition, so sketches of (language, source) give those of a language and of the
 read from one is within 1/64 of the true one. The counts of a group don't depend on how rows are spread, so
 the verdicts don't either.
 
-A rule's bounds are the group's median plus or minus a multiple of its lower spread (median less lower
-quartile, which a minority of bad texts doesn't move), and never tighter than a tolerance. Groups with fewer
-texts than `min_group` take the bounds of their language, and languages with fewer than a tenth of that those
-of the corpus.
+A rule's upper bound is the group's median and the greatest of `REACH_LOW` times its lower spread (median less lower
+quartile), `REACH_HIGH` times its upper spread (upper quartile less median) and a tolerance; the lower bound of word
+length is the median less the greater of lower spread and tolerance. Up to a quarter of bad texts in a group move
+neither quartile. The upper spread lets a source have rates that most of its texts haven't, such as symbols.
 
-Null text: no words, base_failed. Null language or source: the group of the empty name. Repeated rows each
-count. An empty table gives an empty result.
+Groups with fewer texts than `min_group` take the bounds of their language, and languages with fewer than a tenth of
+that those of the corpus, since quartiles of few texts say little.
+
+Null text: no words, base_failed. Null language or source: the group of the empty name. Texts of any length are
+measured whole. Repeated rows each count, and get one verdict, as do ties. Columns besides text, lang and source are
+handed on; names that begin with two underscores are taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,24 +37,33 @@ MARK = "__quality"
 
 @dataclass(frozen=True)
 class Rule:
-    """`rate` is in thousandths of `per`; `reach` multiplies the spread; `slack` is the least distance from the median."""
+    """`of` is counted in thousandths of `per`; `slack` is the least distance of a bound from the median."""
 
     name: str
     of: str
     per: str
-    reach: int
     slack: int
     below: bool = False
 
+    @property
+    def low(self) -> str:
+        return f"q50 - greatest({self.slack}, {REACH_LOW} * (q50 - q25))" if self.below else "cast(-1 as bigint)"
+
+    @property
+    def high(self) -> str:
+        return f"q50 + greatest({self.slack}, {REACH_LOW} * (q50 - q25), {REACH_HIGH} * (q75 - q50))"
+
 
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 8, 500, below=True),
-    Rule("symbols", "n_symbols", "n_words", 8, 100),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 8, 350),
-    Rule("repeats", "n_repeat_words", "n_words", 8, 300),
+    Rule("word_length", "word_chars", "n_words", 500, below=True),
+    Rule("symbols", "n_symbols", "n_words", 100),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 350),
+    Rule("repeats", "n_repeat_words", "n_words", 300),
 )
+REACH_LOW, REACH_HIGH = 8, 4
 MIN_GROUP = 200
 MIN_WORDS = 50
+QUARTILES = ("q25", "q50", "q75")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -122,26 +135,26 @@ def _group(name: str) -> Column:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Lower quartile and median of each merged sketch, and the number of texts in it."""
+    """The three quartiles of each merged sketch, and the number of texts in it."""
     merged = sketch.groupBy(*keys, "rule", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
     upto = merged.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
     least = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("value")))
-    return upto.groupBy(*keys, "rule").agg(F.max("total").alias("total"), least(1).alias("q25"), least(2).alias("q50"))
+    return upto.groupBy(*keys, "rule").agg(F.max("total").alias("total"), *(least(k).alias(q) for k, q in enumerate(QUARTILES, 1)))
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """A row for each (lang, source) with lo_ and hi_ of every rule. Its size is that of the groups, not of the texts."""
     fine = _quantiles(sketch, ["__lang", "__source"])
-    mid = _quantiles(sketch, ["__lang"]).select("__lang", "rule", *(F.col(c).alias(f"m_{c}") for c in ("total", "q25", "q50")))
-    top = _quantiles(sketch, []).select("rule", F.col("q25").alias("t_q25"), F.col("q50").alias("t_q50"))
+    mid = _quantiles(sketch, ["__lang"]).withColumnsRenamed({c: f"m_{c}" for c in ("total", *QUARTILES)})
+    top = _quantiles(sketch, []).drop("total").withColumnsRenamed({c: f"t_{c}" for c in QUARTILES})
+    met = fine.join(mid, ["__lang", "rule"]).join(top, "rule")
     pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("m_total") >= min_group // 10, F.col(f"m_{c}")).otherwise(F.col(f"t_{c}"))
-    chosen = fine.join(mid, ["__lang", "rule"]).join(top, "rule").select("__lang", "__source", "rule", pick("q25").alias("q25"), pick("q50").alias("q50"))
+    chosen = met.withColumns({c: pick(c) for c in QUARTILES})
     bounds = []
     for k, r in enumerate(RULES):
-        reach = F.expr(f"greatest({r.slack}, {r.reach} * (q50 - q25))")
         one = lambda c, k=k: F.max(F.when(F.col("rule") == k, c))
-        bounds += [one(F.col("q50") - reach if r.below else F.lit(-1).cast("long")).alias(f"lo_{k}"), one(F.col("q50") + reach).alias(f"hi_{k}")]
+        bounds += [one(F.expr(r.low)).alias(f"lo_{k}"), one(F.expr(r.high)).alias(f"hi_{k}")]
     return chosen.groupBy("__lang", "__source").agg(*bounds)
 
 
@@ -156,7 +169,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def verdicts(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    limits = materialise(thresholds(materialise(sketches(measured), "sketches"), min_group).coalesce(1), "limits")
+    limits = materialise(thresholds(materialise(sketches(measured), "sketches"), min_group), "limits")
     inside = F.lit(True)
     for k, r in enumerate(RULES):
         inside = inside & _rate(r).between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
@@ -187,10 +200,11 @@ def oracle_sql() -> str:
     for name, keys in (("fine", "lang, source, "), ("mid", "lang, "), ("top", "")):
         levels.append(f"""{name}_n as (select {keys}rule, value, sum(n) as n from sketch group by {keys}rule, value),
 {name}_c as (select {keys}rule, value, sum(n) over (partition by {keys}rule order by value) as upto, sum(n) over (partition by {keys}rule) as total from {name}_n),
-{name} as (select {keys}rule, max(total) as total, min(case when upto * 4 >= total then value end) as q25, min(case when upto * 4 >= total * 2 then value end) as q50 from {name}_c group by {keys}rule)""")
+{name} as (select {keys}rule, max(total) as total, min(case when upto * 4 >= total then value end) as q25, min(case when upto * 4 >= total * 2 then value end) as q50, min(case when upto * 4 >= total * 3 then value end) as q75 from {name}_c group by {keys}rule)""")
     rates = " union all ".join(f"select rid, lang, source, {k} as rule, {r.of} * 1000 // greatest({r.per}, 1) as rate from marked" for k, r in enumerate(RULES))
-    pick = lambda c: f"case when fine.total >= {MIN_GROUP} then fine.{c} when mid.total >= {MIN_GROUP // 10} then mid.{c} else top.{c} end"
-    within = " or ".join(f"(r.rule = {k} and r.rate between {f'q50 - greatest({r.slack}, {r.reach} * (q50 - q25))' if r.below else '-1'} and q50 + greatest({r.slack}, {r.reach} * (q50 - q25)))" for k, r in enumerate(RULES))
+    pick = lambda c: f"case when fine.total >= {MIN_GROUP} then fine.{c} when mid.total >= {MIN_GROUP // 10} then mid.{c} else top.{c} end as {c}"
+    own = ", ".join(map(pick, QUARTILES))
+    within = " or ".join(f"(r.rule = {k} and r.rate between {r.low} and {r.high})" for k, r in enumerate(RULES))
     return f"""
 with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
 words as (select rid, regexp_extract_all(text, '{word}') as w from docs),
@@ -208,7 +222,7 @@ marked as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_word
 rates as ({rates}),
 sketch as (select r.lang, r.source, rule, (rate >> {short}) << {short} as value, count(*) as n from rates r join marked m using (rid) where not base_failed group by r.lang, r.source, rule, value),
 {", ".join(levels)},
-limits as (select fine.lang, fine.source, fine.rule, {pick("q25")} as q25, {pick("q50")} as q50 from fine join mid using (lang, rule) join top using (rule)),
+limits as (select fine.lang, fine.source, fine.rule, {own} from fine join mid using (lang, rule) join top using (rule)),
 verdict as (select rid, bool_and({within}) as inside from rates r join limits l on r.lang = l.lang and r.source = l.source and r.rule = l.rule group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(inside, false) as kept
 from marked left join verdict using (rid)"""
