@@ -85,16 +85,23 @@ def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows: int = 4000) -> DataFrame:
+def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows: int = 4000, together: str | None = None, copies: str | None = None) -> DataFrame:
     """df with __rank, the place (from 0) of each row within its `group`, however many rows a group has.
 
     Rows are dealt into buckets of about `bucket_rows` of the largest group by a hash of `order`; the counts of
-    the buckets, summed in two levels, give where each bucket starts, and rows are numbered inside a bucket.
-    Rows alike in `order` may swap places, so they should be alike in all that is kept. df must be a fixed table.
+    the buckets, summed in two levels, give where each bucket starts, and rows are numbered inside a bucket. df must be
+    a fixed table, and `order` tell its rows apart, so that repeated rows are dealt too.
+
+    together: rows alike in this column get places next to each other; they share a bucket, or, where `copies` (their
+    number) is more than bucket_rows, a run of buckets.
     """
     buckets = max(1, n_rows // bucket_rows)
     wide = max(1, int(buckets**0.5))
-    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    if together:
+        part = F.pmod(F.xxhash64(*order), F.expr(f"1 + {copies} div {bucket_rows}"))
+        keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(together), F.lit(buckets)) * F.lit(buckets + 1) + part)
+    else:
+        keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = keyed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__span", F.expr(f"__bucket div {wide}"))
     spans = counts.groupBy(group, "__span").agg(F.sum("__n").alias("__m"))
 

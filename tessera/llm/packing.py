@@ -278,9 +278,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = wordpiec
 
 
 def assign(parts: DataFrame, packing: Plan, n_rows: int, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. parts must be a fixed table, as materialise() gives it."""
+    """The pieces with sequence_id and offset. parts must be a fixed table, as materialise() gives it, with a number `row` of each row."""
     table = layout(packing, capacity)
-    ranked = ranks(parts, "length", ["doc_id", "piece", "start", "ids_crc32"], n_rows)
+    ranked = ranks(parts, "length", ["doc_id", "piece", "row"], n_rows)
 
     order = table.sort_values(["length", "first"])
     key = (order["length"].to_numpy() << 44) + order["first"].to_numpy()
@@ -299,6 +299,6 @@ def assign(parts: DataFrame, packing: Plan, n_rows: int, capacity: int = CAPACIT
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = wordpieces.VOCABULARY, end: int = END, nodes: int = NODES) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    parts = materialise(pieces(docs, capacity, vocabulary, end), "pieces")
+    parts = materialise(pieces(docs, capacity, vocabulary, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     return assign(parts, plan(counts, capacity, nodes), sum(counts.values()), capacity)

@@ -1,16 +1,22 @@
 """Shards of equal row counts along a Hilbert curve through the metadata of the documents.
 
-Language, source and size are quantised to 4 bits each: the first two by a hash of their value, the size by
-its sixteenths, read from a mergeable quantile summary. A cell of that grid has a place on a three-dimensional
-Hilbert curve, so documents near each other in all three come near each other in the order, and a run of the
-order covers few values of each. The order is cut into runs of rows at most one apart (law `rows`), so files
-of one shard can be skipped by their bounds on any of the dimensions.
+Language, source and size are quantised to 4 bits each by their rank in sorted order: a value's level is where the
+middle of its rows lies among all rows, so frequent values get levels of their own and neighbours on the curve are
+neighbours in value. A cell of that grid has a place on a three-dimensional Hilbert curve, so a run of the order
+covers a short range of each dimension. The order is cut into runs of rows at most one apart (law `rows`), and files
+of a shard can be skipped by their bounds on any of the dimensions.
+
+Inside a cell the order is by text, so documents of one text, language and source lie next to each other and only a
+group that meets the end of a shard is in two. Copies of a text under other languages or sources stay in the cells of
+those: moved to one cell, they would widen the bounds of their shard to all values that any copy has.
 
 Everything is DataFrame and SQL functions. The curve is a table of 4,096 rows, built by SQL and small enough to
-broadcast by construction. Places within a cell come from bucket counts, so no task sorts a whole cell.
+broadcast by construction. Ranks of values come from a distributed sort of the different values, places within a cell
+from bucket counts, so no task sorts a whole cell, nor all copies of a text.
 
-Null text: no bytes, CRC of the empty text. Null language or source is a value of its own. Repeated rows get
-a place each. An empty table gives no rows; fewer rows than shards leave shards empty.
+Null text: no bytes, CRC of the empty text; one group with empty texts. Null language or source is a value of its
+own, before all others. Texts of any length are measured whole. Repeated rows get a place each. Columns besides those
+read never meet the operator's own. An empty table gives no rows; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -44,35 +50,52 @@ def curve(spark: SparkSession, dims: int = len(DIMS), bits: int = BITS) -> DataF
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, lang and source."""
+    """doc_id, size, text_crc32, lang, source, and `same`, a number of the text."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents_only(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return rows.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "lang", "source")
+    return rows.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "lang", "source", F.xxhash64(raw).alias("same"))
+
+
+def levels_of(rows: DataFrame, column: str, n: int, levels: int) -> DataFrame:
+    """The different values of a column as `value`, each with `level`, from the place of the middle of its rows."""
+    counted = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sorted_ = materialise(counted.orderBy("value").withColumn("part", F.spark_partition_id()), "values")
+    parts = sorted_.groupBy("part").agg(F.sum("n").alias("m"))  # one row for each partition of the sort
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("m").over(before(Window.orderBy("part"))), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy("value"))), F.lit(0))
+    placed = sorted_.withColumn("inside", inside).join(starts, "part")
+    return placed.select("value", F.expr(f"cast((2 * (start + inside) + n) * {levels} div (2 * {max(n, 1)}) as int)").alias("level"))
 
 
-def with_place(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """rows (a fixed table of metadata) with h, the place of their cell on the curve."""
+def with_place(rows: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """rows (a fixed table of metadata) with h, the place of their cell on the curve, and copies, the rows of their text."""
     levels = 1 << bits
     cuts = rows.agg(F.percentile_approx("size", [k / levels for k in range(1, levels)], 10000)).first()[0] or []  # levels - 1 numbers
     sized = sum((F.when(F.col("size") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(levels))
-    cell = (hashed("lang") * levels + hashed("source")) * levels + sized
-    return rows.withColumn("cell", cell).join(F.broadcast(curve(rows.sparkSession, 3, bits)), "cell").drop("cell")
+    groups = rows.groupBy("same", "size").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    met = rows.join(groups, ["same", "size"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    for c in ("lang", "source"):
+        named = levels_of(rows, c, n, levels).select(F.col("value").alias("__value"), F.col("level").alias(f"__{c}"))
+        met = met.join(named, F.col(c).eqNullSafe(F.col("__value"))).drop("__value")
+    cell = ((F.col("__lang") * levels + F.col("__source")) * levels + sized).cast("long")
+    return met.withColumn("cell", cell).join(F.broadcast(curve(rows.sparkSession, 3, bits)), "cell").drop("cell", "__lang", "__source")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, lang, source, h, shard and slot (gapless from 0 in each shard)."""
-    rows = materialise(with_place(materialise(metadata(docs), "metadata"), bits), "placed")
-    n = rows.count()
+    found = materialise(metadata(docs).withColumn("row", F.monotonically_increasing_id()), "metadata")
+    n = found.count()
+    rows = materialise(with_place(found, n, bits), "placed")
     cells = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))  # at most 2^(3 * bits)
     upto = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("h", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__first"))
-    placed = ranks(rows, "h", ["doc_id", "text_crc32", "size", "lang", "source"], n)
+    placed = ranks(rows, "h", ["same", "size", "doc_id", "row"], n, together="same", copies="copies")
     at = placed.join(F.broadcast(starts), "h").withColumn("__at", F.col("__first") + F.col("__rank"))
     shard = F.expr(f"cast(__at * {shards} div {max(n, 1)} as int)")
     # Shard s begins at the least place p with p * shards >= s * n.
     slot = F.expr(f"__at - (shard * {n}L + {shards - 1}) div {shards}")
-    return at.withColumn("shard", shard).withColumn("slot", slot).drop("__first", "__rank", "__at")
+    return at.withColumn("shard", shard).withColumn("slot", slot).drop("__first", "__rank", "__at", "same", "row", "copies")
 
 
 def bounds(sharded: DataFrame) -> DataFrame:

@@ -610,6 +610,57 @@ def test_shards_are_even_and_gapless(docs, empty, tmp_path):
     assert sharding.bounds(placed).count() == 8
 
 
+def slow_hilbert(point: tuple[int, ...], bits: int) -> int:
+    """The place of a point on the curve: Gray code, with the turns of each step undone (Skilling's transpose form)."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_curve_is_the_known_one(spark):
+    assert all(r.h == slow_hilbert((r.cell >> 8, r.cell >> 4 & 15, r.cell & 15), 4) for r in sharding.curve(spark).collect())
+
+
+def test_shards_prune_every_dimension_and_keep_copies_together(spark):
+    rng = random.Random(5)
+    rows = [(k, "w" * rng.randint(1, 4000), rng.choice(["de", "en", "es", "fr"]), f"src{rng.randrange(20):02d}", 1) for k in range(2000)]
+    rows += [(5000 + k, "a text that many have", "fr", "src07", 1) for k in range(300)]
+    rows += [(6000 + k, f"pair {k // 2}", "de", f"src{k // 10:02d}", 1) for k in range(200)]
+    found = sharding.hilbert_shards(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    for column, value in (("lang", "en"), ("source", "src03"), ("size", 17)):
+        ends = found.groupby("shard")[column].agg(["min", "max"])
+        assert ((ends["min"] <= value) & (value <= ends["max"])).sum() <= 5, (column, ends)
+    texts = {r[0]: r[1] for r in rows}
+    found["text"] = found.doc_id.map(texts)
+    spread = found.groupby("text").shard.nunique()
+    named = spread[~spread.index.str.startswith("w")]
+    assert (named > 1).sum() <= 7 and named["a text that many have"] <= 2
+
+
+def test_ranks_keep_copies_together(spark):
+    df = common.materialise(spark.range(600).selectExpr("id", "0 as g", "case when id < 300 then 7 else id % 90 end as same", "case when id < 300 then 300 + 3 else 3 end as copies"), "ranked")
+    for bucket in (10, 50, 4000):
+        got = collected(common.ranks(df, "g", ["same", "id"], 600, bucket, together="same", copies="copies")).sort_values("__rank")
+        assert list(got["__rank"]) == list(range(600))
+        if bucket == 4000:
+            assert (got.same.diff() != 0).sum() == got.same.nunique()
+
+
 def test_ranks_are_gapless_whatever_the_buckets(spark):
     df = spark.range(500).selectExpr("id", "id % 3 as g")
     for bucket in (1, 7, 4000):
