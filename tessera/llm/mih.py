@@ -12,14 +12,19 @@ Rows are dealt into index blocks, queries into query blocks, and each pair of bl
 memory; the best of each are merged. A query that finds fewer than k within the radius is searched again with
 the radius of all bits, so it gets k rows wherever there are as many.
 
-Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part.
-Ties go to the smaller vec_id. A row is no neighbour of a row with its own vec_id.
+Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without a vec_id. Rows
+with one vec_id are one row: of different vectors the least in array order stands for it. A vector is compared with
+those of its own length; lengths other than the sample's most frequent have no codes and are compared in full. Ties go
+to the smaller vec_id. A row is no neighbour of itself. Scores are rounded once from exact sums; beyond the range of
+doubles they are infinite. An empty table, or one without queries, gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,7 +37,7 @@ BITS, SAMPLE, K = 256, 4096, 20
 #: Pairs of a query and a row compared at once; bounds a task's memory.
 AT_ONCE = 1 << 20
 #: Queries in a block of them, about; index blocks of a table, and rows in one at most, from where their number grows.
-QUERIES, ROW_BLOCKS, BLOCK = 4096, 16, 65536
+QUERIES, ROW_BLOCKS, BLOCK = 32768, 16, 65536
 #: Share of the true neighbours of sampled queries, within the sample, that the radius must cover.
 COVER = 0.95
 
@@ -90,55 +95,103 @@ class Index:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.tables = [np.unique(p, return_inverse=True) for p in words.view("<u2").T]
+        self.tables = []
+        for part in words.view("<u2").T:
+            values, of, n = np.unique(part, return_inverse=True, return_counts=True)
+            self.tables.append((values, np.argsort(of, kind="stable"), np.cumsum(n) - n, n))
 
     def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
         """(queries, rows): whether the code is within `radius` bits, by probing and then verifying what was found."""
         found = np.zeros((len(queries), len(self.words)), bool)
-        for (values, row_value), asked, reach in zip(self.tables, queries.view("<u2").T, reaches(radius, len(self.tables)), strict=True):
-            if reach >= 0:
-                probed = np.bitwise_count(asked[:, None] ^ values[None, :]) <= reach  # the values that occur among those to probe
-                found |= probed[:, row_value]
+        for (values, rows, start, n), asked, reach in zip(self.tables, queries.view("<u2").T, reaches(radius, len(self.tables)), strict=True):
+            if reach < 0:
+                continue
+            query, value = probed(asked, values, reach)
+            row = rows[np.repeat(start[value] - np.cumsum(n[value]) + n[value], n[value]) + np.arange(n[value].sum())]
+            found[np.repeat(query, n[value]), row] = True
         query, row = np.nonzero(found)
         far = np.bitwise_count(self.words[row] ^ queries[query]).sum(1) > radius
         found[query[far], row[far]] = False
         return found
 
 
+def probed(asked: np.ndarray, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, value): the values of a table within `reach` bits of what each query has there.
+
+    Where there are fewer ways to flip bits than values, each way is looked up in the table; else the table is read.
+    """
+    if sum(math.comb(16, k) for k in range(reach + 1)) >= len(values):
+        return np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= reach)
+    flips = np.array([sum(1 << b for b in chosen) for k in range(reach + 1) for chosen in combinations(range(16), k)], np.uint16)
+    wanted = asked[:, None] ^ flips[None, :]
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    query, flip = np.nonzero(values[at] == wanted)
+    return query, at[query, flip]
+
+
+def exact_product(a: list[float], b: list[float]) -> float:
+    """The inner product, rounded once; infinite where it is beyond the range of doubles."""
+    products = [x * y for x, y in zip(a, b, strict=True)]
+    if all(map(math.isfinite, products)):
+        try:
+            return math.fsum(products)  # products of two single floats are exact in double
+        except OverflowError:
+            pass
+    total = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b, strict=True))
+    try:
+        return float(total)
+    except OverflowError:
+        return math.inf if total > 0 else -math.inf
+
+
 def search(queries: pd.DataFrame, rows: pd.DataFrame, codes: Codes, radius: int, k: int) -> pd.DataFrame:
-    """query_id, vec_id and score of the k best of the rows within the radius of each query."""
-    rows = rows.sort_values("vec_id", kind="stable", ignore_index=True)
+    """query_id, vec_id and score of the k best of the rows within the radius of each query. vec_ids are different."""
+    out: list[tuple] = []
+    sizes = rows["embedding"].map(len).to_numpy(), queries["embedding"].map(len).to_numpy()
+    for width in np.unique(sizes[1]):
+        mine = rows[sizes[0] == width].sort_values("vec_id", kind="stable", ignore_index=True)
+        asked = queries[sizes[1] == width]
+        if len(mine):
+            _search(asked, mine, codes if width == len(codes.centre) else None, radius, k, out)
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
+def _search(queries: pd.DataFrame, rows: pd.DataFrame, codes: Codes | None, radius: int, k: int, out: list[tuple]) -> None:
     x, q = (np.stack(f["embedding"].to_list()).astype(np.float64) for f in (rows, queries))
     ids = rows["vec_id"].to_numpy(np.int64)
     # Of rows with one and the same vector only the first k + 1 ids can be among the best k of any query.
     _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     keep = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy() <= k
     x, ids = x[keep], ids[keep]
-    index, coded, out = Index(codes.encode(x)), codes.encode(q), []
+    index, coded = (Index(codes.encode(x)), codes.encode(q)) if codes else (None, None)
     step = max(1, AT_ONCE // max(1, len(x)))
     query_ids = queries["vec_id"].to_numpy(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = np.sqrt((x * x).sum(1).max())
+        slack = np.maximum(1e-9 * longest * np.sqrt((q * q).sum(1)), 1e-300)  # more than products and sums in any order differ by
     for start in range(0, len(q), step):
         part = slice(start, start + step)
-        found = index.within(coded[part], radius)
-        inner = q[part] @ x.T
-        for query_id, vector, near, products in zip(query_ids[part], q[part], found, inner, strict=True):
+        found = index.within(coded[part], radius) if index else np.ones((len(q[part]), len(x)), bool)
+        with np.errstate(over="ignore", invalid="ignore"):
+            inner = q[part] @ x.T
+        for query_id, vector, near, products, off in zip(query_ids[part], q[part], found, inner, slack[part], strict=True):
             at = np.flatnonzero(near)
             at = at[ids[at] != query_id]
-            if len(at) > k:
+            if len(at) > k and np.isfinite(off) and np.isfinite(products[at]).all():
                 kept = products[at]
-                at = at[kept >= np.partition(kept, len(at) - k)[len(at) - k] - 1e-9]
-            exact = [math.fsum(row) for row in (x[at] * vector).tolist()]  # products of two floats are exact in double
+                at = at[kept >= np.partition(kept, len(at) - k)[len(at) - k] - off]
+            vector = vector.tolist()
+            exact = [exact_product(vector, row) for row in x[at].tolist()]
             for s, n in sorted(zip([-s for s in exact], ids[at].tolist(), strict=True))[:k]:
-                out.append((query_id, n, -s))
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out.append((query_id, n, -s + 0.0))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the rows that take part."""
+    """vec_id and embedding (array<double>) of the rows that take part, each vec_id once."""
     v = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
     v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)"
-    return v.where(fine)
+    return v.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def nearest(vectors: DataFrame, query: str, k: int = K, bits: int = BITS, sample: int = SAMPLE, cover: float = COVER) -> DataFrame:
@@ -158,7 +211,6 @@ def nearest(vectors: DataFrame, query: str, k: int = K, bits: int = BITS, sample
     if not learnt:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = learnt[0]["width"]
-    fine = fine.where(F.size("embedding") == width)
     codes = Codes(np.array(learnt[0]["centre"]), np.array(learnt[0]["turn"]).reshape(width, -1), learnt[0]["radius"])
     n = fine.count()
     asked = fine.where(query)

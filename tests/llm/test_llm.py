@@ -274,6 +274,36 @@ def test_pigeonhole_probing_is_exact():
         assert (index.within(words[:20], radius) == want).all()
 
 
+def slow_nearest(rows: list[tuple], k: int, asked) -> list[tuple]:
+    once = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            once[i] = min(once.get(i, list(v)), list(v))
+    out = []
+    for q in filter(asked, sorted(once)):
+        best = sorted((-mih.exact_product(once[q], v), i) for i, v in once.items() if i != q and len(v) == len(once[q]))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    return out
+
+
+def test_nearest_of_repeated_ids_lengths_and_huge_numbers(spark):
+    """In small tables every row is within reach, so results equal brute force."""
+    rng = random.Random(7)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(40)]
+    rows += rows[:20] + [(0, rows[0][1])] * 30 + [(k, rows[0][1]) for k in (101, 102, 103)] + [(5, [0.5] * 8)]
+    rows += [(200 + k, [float(k + 1), 2.0]) for k in range(5)] + [(300, [1e200] + [0.0] * 7), (320, [-1e200, 1e200] + [1e200] * 6), (340, [1e-200] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"query_id": F.lit(1), "score": F.lit("clash")})
+    got = [tuple(r) for r in mih.nearest(df, "vec_id % 20 = 0", k=20, bits=64, cover=1.0).orderBy("query_id", "rank").collect()]
+    want = slow_nearest(rows, 20, lambda i: i % 20 == 0)
+    assert {r[:1] for r in got} == {r[:1] for r in want}
+    hits = len({r[:1] + r[2:] for r in got} & {r[:1] + r[2:] for r in want})
+    assert len(got) == len(want) and hits >= 0.95 * len(want)
+    zero = [r[2] for r in got if r[0] == 0]
+    assert len(set(zero)) == 20 and 0 not in zero and {101, 102, 103} <= set(zero)
+    assert [r[2] for r in got if r[0] == 200] == [204, 203, 202, 201]
+    assert [r[3] for r in got if r[0] == 320 and r[2] == 300] in ([-math.inf], [])
+
+
 def test_nearest_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 32)).astype(np.float32)
