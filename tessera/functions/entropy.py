@@ -13,33 +13,58 @@ import numpy as np
 
 
 class BitWriter:
-    """Least significant bit first."""
+    """Least significant bit first. Whole bytes are set aside, so writing is linear in the length."""
 
     def __init__(self):
-        self.value, self.size = 0, 0
+        self.done, self.rest, self.n_rest = bytearray(), 0, 0
 
     def write(self, value: int, bits: int) -> None:
         if value >> bits:
             raise ValueError(f"{value} doesn't fit {bits} bits")
-        self.value |= value << self.size
-        self.size += bits
+        self.rest |= value << self.n_rest
+        self.n_rest += bits
+        if self.n_rest >= 64:
+            whole = self.n_rest >> 3
+            self.done += (self.rest & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.rest >>= 8 * whole
+            self.n_rest &= 7
+
+    @property
+    def size(self) -> int:
+        return 8 * len(self.done) + self.n_rest
+
+    def align(self) -> None:
+        self.write(0, -self.n_rest % 8)
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.size + 7) // 8, "little")
+        return bytes(self.done) + self.rest.to_bytes((self.n_rest + 7) // 8, "little")
 
 
 class BitReader:
     """Reads past the end give zeros and set `overread`."""
 
     def __init__(self, data: bytes):
-        self.value, self.size, self.at, self.overread = int.from_bytes(data, "little"), 8 * len(data), 0, False
+        self.data, self.size, self.at, self.overread = bytes(data), 8 * len(data), 0, False
 
     def read(self, bits: int) -> int:
-        got = (self.value >> self.at) & ((1 << bits) - 1)
+        got = self.peek(bits)
         self.at += bits
         self.overread |= self.at > self.size
         return got
 
+    def peek(self, bits: int) -> int:
+        first = self.at >> 3
+        window = int.from_bytes(self.data[first : first + (bits >> 3) + 2], "little")
+        return window >> (self.at & 7) & ((1 << bits) - 1)
+
+    def skip(self, bits: int) -> None:
+        """Ahead by any number of bits, but no further than the end."""
+        self.overread |= self.at + bits > self.size
+        self.at = min(self.at + bits, self.size)
+
+    def align(self) -> None:
+        self.read(-self.at % 8)
+
 
 #: A choice of a four-way field: an offset and how many bits follow.
 Choice = tuple[int, int]
