@@ -100,7 +100,7 @@ def icc_context(at: int, b1: int, b2: int) -> int:
 
     letter = lambda b: chr(b).isascii() and chr(b).isalpha()
     number = lambda b: chr(b).isascii() and chr(b).isdigit() or b in (46, 44)
-    one = kind(b1, (letter, number, lambda b: b <= 1, lambda b: 1 < b < 16, lambda b: 240 < b < 255, lambda b: b == 255))
+    one = kind(b1, (letter, number, lambda b: b == 0, lambda b: b == 1, lambda b: b < 16, lambda b: 240 < b < 255, lambda b: b == 255))
     two = kind(b2, (letter, number, lambda b: b < 16, lambda b: b > 240))
     return 1 + one + two * 8
 

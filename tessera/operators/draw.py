@@ -75,9 +75,10 @@ def width_of(ratio: str, height: str, div) -> str:
 
 def strength(table: list[float], v: str) -> str:
     """Interpolated noise strength at v * 6 in a table of eight, as SQL text; flat beyond the last."""
-    at = f"least(greatest({v} * 6, cast(0 as double)), cast(6.999999 as double))"
+    at = f"greatest({v} * 6, cast(0 as double))"
     pick = lambda shift: "case cast(floor(" + at + f") as int) + {shift} " + " ".join(f"when {k} then cast('{t!r}' as double)" for k, t in enumerate(table)) + " end"
-    return f"least(greatest({pick(0)} + ({at} - floor({at})) * ({pick(1)} - {pick(0)}), cast(0 as double)), cast(1 as double))"
+    last = f"cast('{table[-1]!r}' as double)"
+    return f"least(greatest(case when {at} >= {len(table) - 1} then {last} else {pick(0)} + ({at} - floor({at})) * ({pick(1)} - {pick(0)}) end, cast(0 as double)), cast(1 as double))"
 
 
 def unsqueezed(avg: np.ndarray, res: np.ndarray) -> np.ndarray:

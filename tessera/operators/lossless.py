@@ -105,3 +105,76 @@ def squeeze_columns(rows: DataFrame) -> DataFrame:
     following = F.expr(f"case when a2 is null then null when b2 is null then a2 else {integer.squeeze_average(SPARK, 'a2', 'b2')} end")
     found = px.withColumn("avg", avg).withColumn("nxt", F.coalesce(following, "avg")).withColumn("prv", F.coalesce("before", "avg"))
     return found.select("img", "c", "k", "x", "avg", F.expr(f"a - b - ({integer.smooth_tendency(SPARK, 'prv', 'avg', 'nxt')})").alias("res"))
+
+
+def context_bits(tokened: DataFrame, context: str) -> DataFrame:
+    """What a number costs on average in each context: entropy of its token and raw bits. tokened: as tokens() gives it."""
+    costs = entropy(token_histogram(tokened, context), context)
+    return costs.select(context, "n", F.round((F.col("entropy_bits") + F.col("extra_bits")) / F.col("n"), 6).alias("bits"))
+
+
+def best_configuration(values: DataFrame, group: str, column: str, tried: tuple[tuple[int, int, int], ...]) -> DataFrame:
+    """For each group the (split, msb, lsb) by which its unsigned numbers cost least; of equal ones the first tried.
+
+    All are tried in one pass over counts of the different numbers.
+    """
+    counted = values.groupBy(group, F.col(column).alias("u")).agg(F.count(F.lit(1)).alias("times"))
+    each = []
+    for k, (split, msb, lsb) in enumerate(tried):
+        token, bits = integer.hybrid_token(SPARK, "u", split, msb, lsb), integer.hybrid_bits(SPARK, "u", split, msb, lsb)
+        each.append(F.struct(F.lit(k).alias("k"), F.expr(token).cast("long").alias("token"), F.expr(bits).cast("long").alias("raw")))
+    rows = counted.select(group, "times", F.explode(F.array(*each)).alias("t")).select(group, "times", "t.*")
+    hist = rows.groupBy(group, "k", "token").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("raw")).alias("bits"))
+    costs = entropy(hist, group, "k").select(group, F.struct(F.round(F.col("entropy_bits") + F.col("extra_bits"), 2).alias("cost"), "k").alias("c"))
+    best = costs.groupBy(group).agg(F.min("c").alias("c"))
+    names = F.array(*(F.struct(F.lit(a).alias("split"), F.lit(b).alias("msb"), F.lit(c).alias("lsb")) for a, b, c in tried))
+    return best.select(group, F.col("c.cost").alias("cost"), F.element_at(names, F.col("c.k") + 1).alias("h")).select(group, "cost", "h.*")
+
+
+def divided(residuals_: DataFrame, leaf: str, column: str, divisors: DataFrame) -> DataFrame:
+    """residuals divided by their leaf's divisor (leaf, g); a leaf of zeros has divisor 0 and stays."""
+    met = residuals_.join(divisors, leaf)
+    return met.withColumn(column, F.expr(f"case when g > 1 then {column} div g else {column} end")).drop("g")
+
+
+def bands(rows: DataFrame, target: int = 160_000, band: int = 8) -> DataFrame:
+    """rows (img, c, y, row) of the bands of `band` rows, evenly spread, that have about `target` samples; small images whole."""
+    sizes = rows.groupBy("img").agg((F.max("y") + 1).alias("h"), F.max(F.size("row")).alias("w"))
+    sizes = sizes.withColumn("n", F.expr(f"greatest(4, least({target} div (w * {band}), h div {band}))"))
+    starts = sizes.withColumn("start", F.expr(f"case when w * h <= {target} or h < {2 * band} then array(-1L) else transform(sequence(0L, n - 1), b -> (h - {band}) * b div (n - 1)) end"))
+    taken = starts.select("img", F.explode("start").alias("start"), "h").select("img", F.explode(F.expr(f"case when start < 0 then sequence(0L, h - 1) else sequence(start, start + {band - 1}) end")).alias("y")).distinct()
+    return rows.join(taken, ["img", "y"]).select("img", "c", "y", "row")
+
+
+def best_transform(rows: DataFrame, margin: float = 0.002) -> DataFrame:
+    """rows (img, c, y, row; c from 0 to 2) to img, type, cost: of the 42 colour transforms the one with the least entropy of
+    gradient residuals, or type 6 where no other gains more than the margin.
+
+    The transforms share planes, so each different plane is priced once: samples and their neighbours are transformed
+    in their row, residuals are counted inside the task, and a table of (img, plane, residual) is what is shuffled.
+    """
+    px = planes.causal(rows).select("img", "c", "y", "x", "v", "left_", "top_", "topleft")
+    wide = px.groupBy("img", "y", "x").pivot("c", [0, 1, 2]).agg(F.first(F.struct(F.col("v").cast("long").alias("v"), "left_", "top_", "topleft")).alias("s"))
+    wide = wide.where("`0` is not null and `1` is not null and `2` is not null")
+    kinds = {kind: integer.rct_forward(SPARK, kind) for kind in range(42)}
+    different = sorted({e for made in kinds.values() for e in made})
+    each = []
+    for no, e in enumerate(different):
+        fields = []
+        for name in ("v", "left_", "top_", "topleft"):
+            text = e
+            for k in range(3):
+                text = text.replace(f"c{k}", f"`{k}`.{name}")
+            fields.append(F.expr(text).cast("long").alias(name))
+        each.append(F.struct(F.lit(no).alias("plane"), *fields))
+    opened = wide.select("img", F.explode(F.array(*each)).alias("t")).select("img", "t.*")
+    res = F.expr(f"v - ({integer.clamped_gradient('left_', 'top_', 'topleft')})")
+    counted = opened.groupBy("img", "plane", res.alias("res")).agg(F.count(F.lit(1)).alias("n"))
+    bits = F.sum("n") * F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double")))
+    priced = counted.groupBy("img", "plane").agg(bits.alias("bits"))
+    uses = F.array(*(F.struct(F.lit(kind).alias("type"), F.lit(different.index(e)).alias("plane"), F.lit(k).alias("k")) for kind, made in kinds.items() for k, e in enumerate(made)))
+    table = rows.sparkSession.range(1).select(F.explode(uses).alias("u")).select("u.*")  # 126 rows
+    costs = priced.join(F.broadcast(table), "plane").groupBy("img", "type").agg(F.round(F.sum("bits"), 3).alias("cost"))
+    best = costs.groupBy("img").agg(F.min(F.struct("cost", "type")).alias("best"), F.max(F.when(F.col("type") == 6, F.col("cost"))).alias("usual"))
+    gains = F.col("best.cost") < F.col("usual") * F.lit(1 - margin)
+    return best.select("img", F.when(gains, F.col("best.type")).otherwise(6).alias("type"), F.when(gains, F.col("best.cost")).otherwise(F.col("usual")).alias("cost"))

@@ -34,13 +34,14 @@ def curve_pieces(points: DataFrame) -> DataFrame:
     return ends.where("q1 is not null").select("img", F.col("q").alias("q0"), F.col("r").alias("r0"), "q1", "r1")
 
 
-def rate_difference(ours: DataFrame, theirs: DataFrame, steps: int = 200) -> DataFrame:
+def rate_difference(ours: DataFrame, theirs: DataFrame, steps: int = 200, low: float | None = None, high: float | None = None) -> DataFrame:
     """img and percent: the mean difference of log2 size over the quality that both curves cover, as a rate.
 
     ours, theirs: curves (img, q, r) with r = log2 size; trapezoids over `steps` equal steps, linear between points.
+    low, high: the least and the greatest quality that counts.
     """
     span = lambda c, p: c.groupBy("img").agg(F.min("q").alias(f"{p}lo"), F.max("q").alias(f"{p}hi"), F.count(F.lit(1)).alias(f"{p}n"))
-    both = span(ours, "a").join(span(theirs, "b"), "img").where("an > 1 and bn > 1").select("img", F.greatest("alo", "blo").alias("lo"), F.least("ahi", "bhi").alias("hi")).where("hi > lo")
+    both = span(ours, "a").join(span(theirs, "b"), "img").where("an > 1 and bn > 1").select("img", F.greatest("alo", "blo", *([F.lit(low)] if low is not None else [])).alias("lo"), F.least("ahi", "bhi", *([F.lit(high)] if high is not None else [])).alias("hi")).where("hi > lo")
     at = both.select("img", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")).withColumn("q", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / steps)
     read = at
     for name, curve in (("ra", ours), ("rb", theirs)):
@@ -114,3 +115,33 @@ def transposed(data: DataFrame, width: int) -> DataFrame:
     extra = F.expr("size % high")
     start = F.col("col") * F.col("rows_full") + F.least(F.col("col"), F.col("extra"))
     return data.withColumn("high", high).withColumns({"col": col, "row": row, "rows_full": rows_full, "extra": extra}).withColumn("j", start + F.col("row")).select("doc_id", "i", "b", "j")
+
+
+def quality_ratio(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """ours (img, size, quality) with ratio: their size at the same quality goes into ours; null outside their qualities.
+
+    theirs must be a frontier; log2 size is linear between its points.
+    """
+    pieces = curve_pieces(theirs.select("img", F.col("quality").alias("q"), F.log2(F.col("size").cast("double")).alias("r")))
+    met = ours.join(pieces, "img").where("quality between q0 and q1")
+    there = met.groupBy("img", "size", "quality").agg(F.min(F.expr("r0 + (quality - q0) / (q1 - q0) * (r1 - r0)")).alias("there"))
+    joined = ours.join(there, ["img", "size", "quality"], "left")
+    return joined.select("img", "size", "quality", (F.col("size") / F.pow(F.lit(2.0), F.col("there"))).alias("ratio"))
+
+
+def timing_report(runs: DataFrame) -> DataFrame:
+    """runs (name, seconds, pixels): runs, best and mean seconds, and million pixels a second at best."""
+    best = F.min("seconds")
+    return runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), best.alias("best"), F.avg("seconds").alias("mean"), (F.max("pixels") / best / 1e6).alias("mp_s"))
+
+
+def block_report(blocks: DataFrame) -> DataFrame:
+    """blocks (strategy, quant): how many of each strategy, their share, and the range of their quantisers."""
+    by = blocks.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.min("quant").alias("low"), F.max("quant").alias("high"))
+    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("total")))).select("strategy", "n", "low", "high", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
+
+
+def coefficient_report(coefficients: DataFrame) -> DataFrame:
+    """coefficients (strategy, k, v): of each strategy and place, how many aren't zero, and their mean size."""
+    size = F.abs(F.col("v").cast("double"))
+    return coefficients.groupBy("strategy", "k").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("v") != 0).cast("long")).alias("nonzero"), F.avg(size).alias("size"))
