@@ -42,6 +42,21 @@ BLEND = {
 BLEND_ALPHA = "1 - (1 - fa) * (1 - ba)"
 
 
+def blending(mode: str, clamp: bool = False, premultiplied: bool = False) -> tuple[str, str]:
+    """Colour and alpha of a frame over a canvas, as SQL text over b, ba, f and fa.
+
+    clamp: the frame's alpha (with mul, its colour) is taken within 0 and 1. premultiplied: colours hold their alpha already.
+    """
+    within = lambda v: f"least(greatest({v}, cast(0 as double)), cast(1 as double))" if clamp else v
+    fa = within("fa")
+    alpha = f"1 - (1 - {fa}) * (1 - ba)"
+    if mode == "blend":
+        colour = f"f + b * (1 - {fa})" if premultiplied else f"case when {alpha} > 0 then (f * {fa} + b * ba * (1 - {fa})) / ({alpha}) else cast(0 as double) end"
+        return colour, alpha
+    colours = {"replace": "f", "add": "b + f", "weighted_add": f"b + f * {fa}", "mul": f"b * {within('f')}"}
+    return colours[mode], {"replace": "fa"}.get(mode, "ba")
+
+
 def composite(canvas: DataFrame, frame: DataFrame, mode: str, x0: int, y0: int) -> DataFrame:
     """canvas (img, y, x, b, ba) under frame (img, y, x, f, fa) placed at (x0, y0): img, y, x, v, a. Uncovered samples stay."""
     over = frame.select("img", (F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "f", "fa")

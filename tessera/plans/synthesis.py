@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrices
 from ..functions.dialect import PLAIN, SPARK
-from ..operators import filters, synthesis
+from ..operators import edges, filters, synthesis
 from . import base
 
 
@@ -123,7 +123,26 @@ def noise_statistics(spark: SparkSession, d: str) -> DataFrame:
     return by.select("img", "c", "n", ((F.col("low") >= 1) & (F.col("high") < 2) & (F.abs(F.col("mean") - 1.5) < 0.03)).alias("fair"))
 
 
+BLOCKS = "l_orderkey as o, l_linenumber as i, cast(1 + l_partkey % 256 as int) as quant, cast(l_suppkey % 8 as int) as sharp"
+
+
+def block_sigma(spark: SparkSession, d: str) -> DataFrame:
+    rows = base.table(spark, d, "lineitem").selectExpr(*BLOCKS.split(", ")).selectExpr("sharp", f"{edges.inverse_sigma('quant', 'sharp', 'cast(0.0009765625 as double)')} as s")
+    return rows.groupBy("sharp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("s"))
+
+
+def edge_filter(spark: SparkSession, d: str) -> DataFrame:
+    """All three passes over images of 96 rows and three channels: rows, and that no sample leaves the range of its image."""
+    rows = base.plane(spark, d).selectExpr("y div 288 as img", "cast(y % 3 as int) as c", "y div 3 % 96 as y", "transform(row, v -> v / 2550d) as row")
+    whole = rows.groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.min(F.array_min("row")).alias("low"), F.max(F.array_max("row")).alias("high")).where("n % 3 = 0")
+    made = edges.restore(rows.join(whole, "img", "left_semi"), 3, -0.5).join(whole, "img")
+    inside = F.forall("row", lambda v: (v >= F.col("low") - 1e-9) & (v <= F.col("high") + 1e-9))
+    return made.groupBy("img", "c").agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("inside"))
+
+
 QUERIES = {
+    "block_sigma": block_sigma,
+    "edge_filter": edge_filter,
     "dct16_forward": _transform(16),
     "dct32_forward": _transform(32),
     "inverse_transform": inverse_transform,
@@ -143,6 +162,8 @@ QUERIES = {
 _D50 = ((0.4360747, 0.3850649, 0.1430804), (0.2225045, 0.7168786, 0.0606169), (0.0139322, 0.0971045, 0.7141733))
 _SUMS = ", ".join(f"round(avg(c0 / 255.0 * {a} + c1 / 255.0 * {b} + c2 / 255.0 * {c}), 2) as {n}" for n, (a, b, c) in zip("xyz", _D50, strict=True))
 ORACLE_SQL = {
+    "block_sigma": f"with b as (select {BLOCKS} from lineitem), s as (select sharp, {edges.inverse_sigma('quant', 'sharp', 'cast(0.0009765625 as double)')} as s from b) select sharp, count(*) as n, round(avg(s), 4) as s from s group by sharp",
+    "edge_filter": "with r as (select vec_id // 288 as img, vec_id % 3 as c from embeddings), w as (select img from r group by img having count(*) % 3 = 0) select img, cast(c as int) as c, count(*) as n, true as inside from r join w using (img) group by img, c",
     "dct16_forward": _transform_sql(16),
     "dct32_forward": _transform_sql(32),
     "inverse_transform": f"with {base.PX}, w as (select y // 16 as b from px group by y // 16 having count(distinct y) = 16) select count(*) as n, cast(sum(v) as bigint) as total, cast(0 as double) as off from px where y // 16 in (select b from w)",

@@ -86,8 +86,16 @@ def codestreams(boxes_: DataFrame) -> DataFrame:
 
 
 def payload(boxes_: DataFrame, type_: str) -> DataFrame:
-    """path and payload of the first top-level box of a type in each file."""
-    return boxes_.where(F.col("type") == type_).groupBy("path").agg(F.min_by("payload", "ord").alias("payload"))
+    """path and payload of the first top-level box of a type in each file; `brob` boxes of stored blocks are opened."""
+    inner = F.when(F.col("type") == "brob", F.decode(F.substring("payload", 1, 4), "ISO-8859-1")).otherwise(F.col("type"))
+    first = boxes_.where(inner == type_).groupBy("path").agg(F.min_by(F.struct("type", "payload"), "ord").alias("b"))
+
+    @F.pandas_udf("binary")
+    def opened(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: None if x is None else brotli_unstored(bytes(x)[4:]))
+
+    wrapped = F.when(F.col("b.type") == "brob", F.col("b.payload"))
+    return first.select("path", F.coalesce(opened(wrapped), F.col("b.payload")).alias("payload"))
 
 
 def exif(boxes_: DataFrame) -> DataFrame:
@@ -105,5 +113,49 @@ def box(type_: bytes, body: bytes) -> bytes:
     return struct.pack(">I", size) + type_ + body if size < 1 << 32 else struct.pack(">I4sQ", 1, type_, size + 8) + body
 
 
+def exif_box(tiff: bytes) -> bytes:
+    """A TIFF stream that starts right after its offset field."""
+    return box(b"Exif", b"\0\0\0\0" + tiff)
+
+
+def xmp_box(text: str) -> bytes:
+    return box(b"xml ", text.encode())
+
+
+def brotli_stored(data: bytes) -> bytes:
+    """A Brotli stream that holds the data as it is: blocks of up to 64 KiB without compression, then an empty last one."""
+    out = bytearray()
+    for k in range(0, len(data), 1 << 16):
+        part = data[k : k + (1 << 16)]
+        # Lowest bit first: a window of 16 bits (in the first block), not the last, four nibbles of length, stored.
+        head = (len(part) - 1) << 3 | 1 << 19
+        out += (head << 1 if not k else head).to_bytes(3, "little") + part
+    return bytes(out) + (b"\x03" if data else b"\x06")
+
+
+def brotli_unstored(stream: bytes, most: int = 64 << 20) -> bytes:
+    """What brotli_stored() was given; compressed blocks are refused."""
+    out, at, first = bytearray(), 0, True
+    while True:
+        head = int.from_bytes(stream[at : at + 3], "little")
+        if first:
+            if head & 1:
+                raise ValueError("only windows of 16 bits are read")
+            head, first = head >> 1, False
+        if head & 1:
+            if not head & 2:
+                raise ValueError("compressed blocks aren't read")
+            return bytes(out)
+        n = (head >> 3 & 0xFFFF) + 1
+        if head & 6 or not head >> 19 & 1 or at + 3 + n > len(stream) or len(out) + n > most:
+            raise ValueError("compressed blocks aren't read")
+        out += stream[at + 3 : at + 3 + n]
+        at += 3 + n
+
+
+def brob_box(type_: bytes, body: bytes) -> bytes:
+    return box(b"brob", type_ + brotli_stored(body))
+
+
 def assemble(codestream: bytes, metadata: list[tuple[bytes, bytes]] = ()) -> bytes:
     return SIGNATURE + box(*FTYP) + b"".join(box(t, b) for t, b in metadata) + box(b"jxlc", codestream)

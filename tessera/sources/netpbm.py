@@ -9,8 +9,10 @@ import os
 from glob import glob
 
 import numpy as np
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 def parse(data: bytes) -> tuple[np.ndarray, int]:
@@ -82,8 +84,25 @@ class _Reader(DataSourceReader):
                 yield partition.path, c, y, top, [float(v) for v in samples[y, :, c]]
 
 
+class _Writer(DataSourceWriter):
+    def __init__(self, options):
+        self.options = options
+
+    def write(self, iterator):
+        for row in iterator:
+            at = os.path.join(self.options["path"], row.path)
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(f"{at}.part", "wb") as f:
+                f.write(bytes(row.data))
+            os.replace(f"{at}.part", at)  # a task that runs twice writes the same file
+        return WriterCommitMessage()
+
+
 class NetpbmSource(DataSource):
-    """path string, c int, y int, top int, row array<double>. Files must lie where every executor can open them."""
+    """Read: path string, c int, y int, top int, row array<double>. Write: rows of path and data, as images() gives them.
+
+    Files lie where every executor can open them; rows_of_files() reads from anything that Spark's own readers reach.
+    """
 
     @classmethod
     def name(cls):
@@ -95,6 +114,35 @@ class NetpbmSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(NetpbmSource)
+
+
+ROWS = "path string, c int, y int, top int, row array<double>"
+
+
+def rows_of_files(spark: SparkSession, path: str, pattern: str = "*.p?m") -> DataFrame:
+    """The files under a path of any store that Spark reads: path, c, y, top, row. A file is read by one task."""
+
+    def rows(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                samples, top = parse(bytes(content))
+                for c in range(samples.shape[2]):
+                    yield pd.DataFrame({"path": path, "c": c, "y": range(samples.shape[0]), "top": top, "row": list(samples[:, :, c].astype(float))})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(rows, ROWS)
+
+
+def images(rows: DataFrame) -> DataFrame:
+    """rows (path, c, y, top, row) to path and data, the bytes of each file."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = [np.stack(g.sort_values("y")["row"].to_list()) for _, g in pdf.groupby("c")]
+        return pd.DataFrame({"path": pdf["path"].iloc[:1], "data": [dump(np.stack(made, axis=2), int(pdf["top"].iloc[0]))]})
+
+    return rows.select("path", "c", "y", "top", F.col("row").cast("array<double>").alias("row")).groupBy("path").applyInPandas(one, "path string, data binary")
