@@ -66,6 +66,25 @@ def composite(canvas: DataFrame, frame: DataFrame, mode: str, x0: int, y0: int)
     return met.select("img", "y", "x", F.when(covered, F.expr(BLEND[mode])).otherwise(F.col("b")).alias("v"), F.when(covered, alpha).otherwise(F.col("ba")).alias("a"))
 
 
+def layered(frames: DataFrame) -> DataFrame:
+    """Frames of still images put over each other in order: frames (img, n, mode, y, x, f, fa) to img, y, x, v, a.
+
+    A sample is a fold over the frames that cover it, of which the format has 256 at most, from an empty canvas.
+    """
+    def laid(acc: Column, s: Column) -> Column:
+        b, ba, f, fa = acc["b"], acc["ba"], s["f"], s["fa"]
+        seen = 1 - (1 - fa) * (1 - ba)
+        colour = F.when(s["mode"] == "replace", f).when(s["mode"] == "add", b + f).when(s["mode"] == "weighted_add", b + f * fa).when(s["mode"] == "mul", b * f)
+        colour = colour.otherwise(F.when(seen > 0, (f * fa + b * ba * (1 - fa)) / seen).otherwise(0.0))
+        alpha = F.when(s["mode"] == "replace", fa).when(s["mode"] == "blend", seen).otherwise(ba)
+        return F.struct(colour.alias("b"), alpha.alias("ba"))
+
+    known = frames.where(F.col("mode").isin(list(BLEND)))
+    at = known.groupBy("img", "y", "x").agg(F.array_sort(F.collect_list(F.struct("n", "mode", F.col("f").cast("double").alias("f"), F.col("fa").cast("double").alias("fa")))).alias("of"))
+    empty = F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("ba"))
+    return at.select("img", "y", "x", F.aggregate("of", empty, laid).alias("r")).select("img", "y", "x", F.col("r.b").alias("v"), F.col("r.ba").alias("a"))
+
+
 def blit(canvas: DataFrame, source: DataFrame, patches: DataFrame) -> DataFrame:
     """Draws rectangles of source (img, sy, sx, f) on canvas (img, y, x, b): the last patch in dictionary order wins.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codestream, entropy, headers, histograms
 from ..sources import codestream as source
+from ..sources import jpeg as jpegs
 from . import base
 
 #: Header fields out of orders; the same text is SQL in both engines.
@@ -122,7 +123,18 @@ def section_table(spark: SparkSession, d: str) -> DataFrame:
     return source.frame_rows(source.encode(_tall(spark, d), group_shift=0)).select(F.explode("sections").alias("s")).groupBy("s.role").agg(F.count(F.lit(1)).alias("n"))
 
 
+BLOCK = "transform(sequence(0, 63), k -> cast(case when k = 0 then vec_id * 7 % 1801 - 900 when (vec_id + k) % 5 = 0 then (vec_id * k) % 41 - 20 else 0 end as int))"
+
+
+def jpeg_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks written as files of 256 and read back, coefficient by coefficient."""
+    blocks = base.table(spark, d, "embeddings").selectExpr("vec_id div 256 as file", "cast(vec_id % 256 div 16 as int) as brow", "cast(vec_id % 16 as int) as bcol", f"{BLOCK} as block")
+    read = jpegs.coefficients(jpegs.build(blocks, [1 + k for k in range(64)]))
+    return read.select("file", F.posexplode("block").alias("k", "v")).groupBy("file", "k").agg(F.sum("v").alias("total"), F.sum((F.col("v") != 0).cast("long")).alias("nonzero"))
+
+
 QUERIES = {
+    "jpeg_coefficients": jpeg_coefficients,
     "header_round_trip": header_round_trip,
     "ans_numbers": _through_code(False),
     "prefix_numbers": _through_code(True),
@@ -137,6 +149,7 @@ QUERIES = {
 _NUMBERS = f"with n as (select {NUMBERS} from lineitem) select book, ctx, count(*) as n, cast(sum(v) as bigint) as total, cast(sum(v * (i % 101)) as bigint) as checksum from n group by book, ctx"
 _TALL = "with r as (select vec_id // 300 as img, max(vec_id % 300) + 1 as h from embeddings group by vec_id // 300)"
 ORACLE_SQL = {
+    "jpeg_coefficients": "with c as (select vec_id // 256 as file, vec_id, unnest(range(64)) as k from embeddings), v as (select file, k, case when k = 0 then vec_id * 7 % 1801 - 900 when (vec_id + k) % 5 = 0 then (vec_id * k) % 41 - 20 else 0 end as v from c) select file, cast(k as int) as k, cast(sum(v) as bigint) as total, cast(count(*) filter (v <> 0) as bigint) as nonzero from v group by file, k",
     "header_round_trip": f"select {HEADS} from orders",
     "ans_numbers": _NUMBERS,
     "prefix_numbers": _NUMBERS,

@@ -98,6 +98,27 @@ def section_role_bytes(spark: SparkSession, d: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("role", "bytes", "n", F.round(F.col("bytes") / F.col("total"), 6).alias("share"))  # one row of totals
 
 
+MODE = "case n % 5 when 0 then 'replace' when 1 then 'blend' when 2 then 'add' when 3 then 'weighted_add' else 'mul' end as mode"
+
+
+def layered_still(spark: SparkSession, d: str) -> DataFrame:
+    """Five layers, the later ones smaller, as one image."""
+    each = base.rgb(spark, d).select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("n")).drop("img").where("x >= 3 * n and y % 7 >= n")
+    made = compose.layered(each.selectExpr("0 as img", "n", MODE, "y", "x", "c0 * (n + 1) % 256 / cast(255.0 as double) as f", "(c1 + 40 * n) % 256 / cast(255.0 as double) as fa"))
+    return made.select("y", "x", F.round("v", 6).alias("v"), F.round("a", 6).alias("a"))
+
+
+def _layered_sql() -> str:
+    """The fold written out, layer by layer."""
+    steps = ["l0 as (select y, x, c0, c1, c0 % 256 / cast(255.0 as double) as b, c1 % 256 / cast(255.0 as double) as ba from rgb)"]
+    colours = {1: "case when 1 - (1 - fa) * (1 - ba) > 0 then (f * fa + b * ba * (1 - fa)) / (1 - (1 - fa) * (1 - ba)) else cast(0 as double) end", 2: "b + f", 3: "b + f * fa", 4: "b * f"}
+    for n in range(1, 5):
+        on = f"x >= {3 * n} and y % 7 >= {n}"
+        alpha = "1 - (1 - fa) * (1 - ba)" if n == 1 else "ba"
+        steps.append(f"s{n} as (select *, c0 * {n + 1} % 256 / cast(255.0 as double) as f, (c1 + {40 * n}) % 256 / cast(255.0 as double) as fa from l{n - 1}), l{n} as (select y, x, c0, c1, case when {on} then {colours[n]} else b end as b, case when {on} then {alpha} else ba end as ba from s{n})")
+    return f"with {base.RGB}, " + ", ".join(steps) + " select y, x, round(b, 6) as v, round(ba, 6) as a from l4"
+
+
 MODES = list(compose.BLEND)
 QUERIES = {
     "reference_slot_asof": reference_slot_asof,
@@ -106,6 +127,7 @@ QUERIES = {
     "double_prefix_sum": double_prefix_sum,
     **{f"canvas_{m}": _composite(m) for m in MODES},
     "patch_blit": patch_blit,
+    "layered_still": layered_still,
     "spot_render": spot_render,
     "orientation_remap": orientation_remap,
     "canvas_quantise": canvas_quantise,
@@ -116,6 +138,7 @@ QUERIES = {
 _F = f"f as (select {FRAME} from events)"
 _ORIENT = " union all ".join(f"select {k} as orientation, {to[1]} as y, {to[0]} as x, c0 as v from rgb" for k, to in compose.destinations("(64 - 1 - x)", "((select count(*) // 3 from embeddings) - 1 - y)").items())
 ORACLE_SQL = {
+    "layered_still": _layered_sql(),
     "reference_slot_asof": f"with {_F} select file, n, " + ", ".join(f"max(case when is_reference and save_as = {k} then n end) over (partition by file order by n rows between unbounded preceding and 1 preceding) as ref_{k}" for k in range(4)) + " from f",
     "frame_counters": f"with {_F}, v as (select *, cast(sum(case when presented then 1 else 0 end) over (partition by file order by n) as bigint) as visible from f) select file, n, visible, cast(row_number() over (partition by file, visible order by n) - case when visible > 0 then 1 else 0 end as bigint) as invisible from v",
     "animation_timeline": f"with {_F}, t as (select file, n, duration, cast(sum(duration) over (partition by file order by n) as bigint) as end_tick from f) select file, n, end_tick - duration as start_tick, end_tick, round((end_tick - duration) * cast(1001 as double) / cast(24000 as double), 6) as seconds from t",
