@@ -13,8 +13,13 @@ class frequencies of the whole corpus, and the copies are averaged by their toke
 words, a word has the probability (c + 1) / (N_k + V_k + 1) from the counts of the whole corpus, which leaves
 1 / (N_k + V_k + 1) to words that training has not seen. So the score is a normalised log probability.
 
-Null and empty texts are the end alone. A null doc_id is a training text. Repeated rows each count and are
-each scored. Without training texts every word has the one share that is left to unseen words.
+Blocks are runs of a task's rows, and copies of the model are averaged, so scores (not counts or base scores) change
+somewhat with how the table is partitioned. FREQUENT, TAILS and WIDTH bound the neural part whatever the data.
+
+Null and empty texts are the end alone. A null doc_id is a training text. Texts of any length are taken whole; a block
+is as long as the text that ends it. Repeated rows each count and are each scored, alike if they share a block. Words of
+equal count get their classes in order of their bytes. Columns besides doc_id and text never meet the operator's own.
+Without training texts every word has the one share that is left to unseen words; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,13 +6,18 @@ summed into a histogram of at most `capacity` counts, the packing is planned for
 length. Ranks come from counts of (length, bucket), so no task ever sees a whole length.
 
 The planner is a depth-first bin completion. A node takes the largest length left and enumerates the
-undominated fillings around it: maximal ones that no other beats by swapping a length for a larger one that
-still fits. Fillings are tried from the least waste up; each is used as often as the counts allow at once.
+undominated fillings around it: maximal ones in which no length can be swapped for a larger one that is left and
+still fits. Fillings are tried from the least waste up; each is used as often as the counts allow, then once.
 The first descent, and best-fit decreasing beside it, give incumbents; a branch whose waste leaves no way to
-beat the incumbent is pruned, and the search ends when the incumbent meets the lower bound or `nodes` run out.
+beat the incumbent is pruned, and the search ends when the incumbent meets the lower bound or its limits are reached.
 
-Null and empty texts are the end id alone. Documents longer than the capacity are cut into pieces of it.
-Repeated rows are packed each. An empty table gives no rows.
+The limits are parameters (Limits): nodes visited, fillings enumerated and tried at a node, and how many smaller
+lengths are looked at before only an exact fit is. Within them the plan may keep more sequences than needed, never
+fewer documents; excess() says how many more than the lower bound.
+
+Null and empty texts are the end id alone. Documents longer than the capacity are cut into pieces of it, however long.
+Repeated rows are packed each. Documents of one length may swap places. Columns besides doc_id and text never meet
+the operator's own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +37,17 @@ from .common import documents_only, materialise, ranks
 
 CAPACITY = 4096
 END = 1
-NODES = 4000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Of the search. More of any finds more and takes longer; none changes which documents are packed."""
+
+    nodes: int = 4000
+    fillings: int = 64
+    tried: int = 6
+    smaller: int = 24
+
 
 #: A filling: (length, copies) from the longest down; a plan: (filling, times).
 Filling = tuple[tuple[int, int], ...]
@@ -61,14 +77,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(best)
 
 
-def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int) -> list[Filling]:
-    """Undominated fillings around the largest length left, least waste first.
+def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int, smaller: int = Limits.smaller) -> list[Filling]:
+    """Undominated fillings around the largest length left, least waste first; at least the one with the least waste found.
 
     sizes: lengths left, ascending. The enumeration goes through maximal fillings, larger lengths first, and
-    stops once `most` are found or one wastes nothing.
+    stops once `most` are found, after 8 * most steps, or when one wastes nothing.
     """
     top = sizes[-1]
-    found: dict[int, Filling] = {}
+    found: list[tuple[int, Filling]] = []
     budget = [most * 8]
 
     def maximal(room: int, chosen: list[tuple[int, int]]) -> bool:
@@ -81,9 +97,9 @@ def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int)
         budget[0] -= 1
         k = bisect_right(sizes, room, 0, upto) - 1
         if room == 0 or k < 0:
-            if room not in found and maximal(room, chosen):
-                found[room] = tuple(chosen)
-            return room == 0
+            if maximal(room, chosen):
+                found.append((room, tuple(chosen)))
+            return room == 0 or len(found) >= most
         if budget[0] < 0:
             fill_greedily(room, upto, chosen)
             return False
@@ -101,10 +117,10 @@ def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int)
                     if budget[0] < 0:
                         return False
             k -= 1
-            if k < last - 24:  # far smaller: only an exact fit can still beat what was found
+            if k < last - smaller:  # far smaller: only an exact fit can still beat what was found
                 exact = room if counts.get(room, 0) - (room == top) > 0 else 0
                 if exact and exact <= sizes[k]:
-                    found.setdefault(0, (*chosen, (exact, 1)))
+                    found.append((0, (*chosen, (exact, 1))))
                     return True
                 return False
         return False
@@ -121,16 +137,26 @@ def fillings(counts: dict[int, int], sizes: list[int], capacity: int, most: int)
                 chosen.append((size, can))
                 room -= size * can
             upto = k
-        found.setdefault(room, tuple(chosen))
+        found.append((room, tuple(chosen)))
+
+    def dominated(room: int, used: dict[int, int]) -> bool:
+        """Whether a length in it can give way to the next larger one that is left."""
+        for size in used:
+            k = bisect_right(sizes, size)
+            while k < len(sizes) and sizes[k] - size <= room:
+                if counts[sizes[k]] > used.get(sizes[k], 0):
+                    return True
+                k += 1
+        return False
 
     grow(capacity - top, len(sizes), [])
-    merged = []
-    for waste in sorted(found):
+    merged: dict[Filling, bool] = {}
+    for waste, chosen in sorted(found, key=lambda f: f[0]):
         together: dict[int, int] = {top: 1}
-        for size, copies in found[waste]:
+        for size, copies in chosen:
             together[size] = together.get(size, 0) + copies
-        merged.append(tuple(sorted(together.items(), reverse=True)))
-    return merged
+        merged.setdefault(tuple(sorted(together.items(), reverse=True)), dominated(waste, together))
+    return [f for f, beaten in merged.items() if not beaten] or list(merged)[:1]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -169,7 +195,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(f, n) for by in rooms.values() for f, n in by.items()]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+def excess(packing: Plan, counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences of a plan beyond the lower bound."""
+    return sum(n for _, n in packing) - lower_bound(counts, capacity)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, limits: Limits = Limits()) -> Plan:  # noqa: B008  frozen
     """The packing with the fewest sequences found. The plan uses every length exactly as often as it is counted."""
     counts = {k: n for k, n in counts.items() if n > 0}
     if not counts:
@@ -187,7 +218,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     left, sizes = dict(counts), sorted(counts)
     trail: Plan = []
     used = waste = 0
-    stack: list[list[Filling]] = []
+    stack: list[list[tuple[Filling, int]]] = []
 
     def take(filling: Filling, times: int) -> None:
         nonlocal used, waste
@@ -212,8 +243,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         waste -= times * (capacity - sum(s * c for s, c in filling))
 
     def expand() -> None:
-        wide = 24 if len(sizes) > 200 else 64
-        stack.append(fillings(left, sizes, capacity, wide)[:6][::-1])
+        options = []
+        for filling in fillings(left, sizes, capacity, limits.fillings, limits.smaller)[: limits.tried]:
+            most = min(left[s] // c for s, c in filling)
+            options += [(filling, most)] + [(filling, 1)] * (most > 1)
+        stack.append(options[::-1])
 
     expand()
     while stack:
@@ -222,8 +256,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             if trail and len(trail) >= len(stack) and stack:
                 undo()
             continue
-        filling = stack[-1].pop()
-        take(filling, min(left[s] // c for s, c in filling))
+        take(*stack[-1].pop())
         visited += 1
         if not left:
             if used < fewest:
@@ -235,7 +268,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             undo()
         else:
             expand()
-        if visited > nodes + len(counts):
+        if visited > limits.nodes + len(counts):
             break
     return best
 
@@ -297,8 +330,8 @@ def assign(parts: DataFrame, packing: Plan, n_rows: int, capacity: int = CAPACIT
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", placed("length", "__rank").alias("p")).select("doc_id", "piece", "start", "length", "ids_crc32", "p.*")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = wordpieces.VOCABULARY, end: int = END, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = wordpieces.VOCABULARY, end: int = END, limits: Limits = Limits()) -> DataFrame:  # noqa: B008  frozen
     """Every piece of every document with its sequence and place."""
     parts = materialise(pieces(docs, capacity, vocabulary, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    return assign(parts, plan(counts, capacity, nodes), sum(counts.values()), capacity)
+    return assign(parts, plan(counts, capacity, limits), sum(counts.values()), capacity)

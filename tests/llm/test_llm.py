@@ -476,6 +476,30 @@ def test_plans_are_optimal_on_small_cases():
     assert packing.plan({}) == [] and packing.lower_bound({}, 10) == 0
 
 
+def test_completion_beats_best_fit_on_harder_sets():
+    rng, better = random.Random(3), 0
+    for _ in range(6):
+        items = Counter(rng.randint(600, 2600) for _ in range(400))
+        found = packing.plan(items, 4096)
+        assert packing.excess(found, items, 4096) >= 0
+        better += sum(n for _, n in found) < sum(n for _, n in packing.best_fit(items, 4096))
+    assert better >= 5
+
+
+def test_fillings_are_undominated():
+    """No length in a filling can give way to a larger one that is left, and no length that is left still fits."""
+    rng = random.Random(9)
+    for _ in range(60):
+        counts = Counter(rng.randint(5, 60) for _ in range(rng.randint(3, 25)))
+        sizes = sorted(counts)
+        for filling in packing.fillings(counts, sizes, 100, 64):
+            used = dict(filling)
+            room = 100 - sum(s * c for s, c in filling)
+            assert room >= 0 and used[sizes[-1]] >= 1 and all(c <= counts[s] for s, c in filling)
+            left = [s for s in sizes if counts[s] > used.get(s, 0)]
+            assert not any(s <= room for s in left) and not any(0 < t - s <= room for s in used for t in left)
+
+
 def test_word_ids_are_the_library():
     encoder = wordpieces.encoder()
     library = Tokenizer.from_file(public_tokenizers.path(wordpieces.VOCABULARY))
