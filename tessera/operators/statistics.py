@@ -78,11 +78,16 @@ def normalised_counts(hist: DataFrame, total: int = 4096) -> DataFrame:
 
 
 def gcd(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The greatest common divisor of |value| in each group, folded over its different values by Euclid's steps."""
+    """The greatest common divisor of |value| in each group, folded over its different values by Euclid's steps.
+
+    In two levels, so that a row holds the values of one bucket of a group, and then one for each bucket.
+    """
     different = values.select(*keys, F.abs(F.col(value)).cast("long").alias("a")).where("a > 0").distinct()
     # Pairs of (a, b) -> (b, a % b) end within 92 steps for 64-bit numbers.
     euclid = "aggregate(sequence(1, 92), struct(g as a, x as b), (p, i) -> if(p.b = 0, p, struct(p.b as a, p.a % p.b as b)), p -> p.a)"
-    return different.groupBy(*keys).agg(F.collect_set("a").alias("all")).select(*keys, F.expr(f"aggregate(all, 0L, (g, x) -> {euclid})").alias("gcd"))
+    folded = F.expr(f"aggregate(all, 0L, (g, x) -> {euclid})")
+    part = different.groupBy(*keys, F.pmod(F.xxhash64("a"), F.lit(256)).alias("__bucket")).agg(F.collect_set("a").alias("all")).select(*keys, folded.alias("a"))
+    return part.groupBy(*keys).agg(F.collect_set("a").alias("all")).select(*keys, folded.alias("gcd"))
 
 
 def value_bin(u: str, log2: str, shr) -> str:
