@@ -85,7 +85,11 @@ def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows: int = 4000, together: str | None = None, copies: str | None = None) -> DataFrame:
+#: Rows in a bucket of ranks(), about.
+BUCKET_ROWS = 4000
+
+
+def ranks(df: DataFrame, group: str, order: list[str], n_rows: int, bucket_rows: int = BUCKET_ROWS, together: str | None = None, copies: str | None = None) -> DataFrame:
     """df with __rank, the place (from 0) of each row within its `group`, however many rows a group has.
 
     Rows are dealt into buckets of about `bucket_rows` of the largest group by a hash of `order`; the counts of

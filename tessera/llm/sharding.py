@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialise, ranks
+from .common import BUCKET_ROWS, documents_only, materialise, ranks
 
 BITS, DIMS, SHARDS = 4, ("lang", "source", "size"), 8
 
@@ -69,11 +69,12 @@ def levels_of(rows: DataFrame, column: str, n: int, levels: int) -> DataFrame:
 
 
 def with_place(rows: DataFrame, n: int, bits: int = BITS) -> DataFrame:
-    """rows (a fixed table of metadata) with h, the place of their cell on the curve, and copies, the rows of their text."""
+    """rows (a fixed table of metadata) with h, the place of their cell on the curve, and copies, the rows of their text if those are more than a bucket, else 1."""
     levels = 1 << bits
     cuts = rows.agg(F.percentile_approx("size", [k / levels for k in range(1, levels)], 10000)).first()[0] or []  # levels - 1 numbers
     sized = sum((F.when(F.col("size") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    groups = rows.groupBy("same", "size").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # Only texts that fill more than a bucket need their number; written first, so that the join knows its size.
+    groups = materialise(rows.groupBy("same", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > BUCKET_ROWS), "groups")
     met = rows.join(groups, ["same", "size"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     for c in ("lang", "source"):
         named = levels_of(rows, c, n, levels).select(F.col("value").alias("__value"), F.col("level").alias(f"__{c}"))
