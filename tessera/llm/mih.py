@@ -98,14 +98,18 @@ class Index:
         self.tables = []
         for part in words.view("<u2").T:
             values, of, n = np.unique(part, return_inverse=True, return_counts=True)
-            self.tables.append((values, np.argsort(of, kind="stable"), np.cumsum(n) - n, n))
+            self.tables.append((values, of, np.argsort(of, kind="stable"), np.cumsum(n) - n, n))
 
     def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
         """(queries, rows): whether the code is within `radius` bits, by probing and then verifying what was found."""
         found = np.zeros((len(queries), len(self.words)), bool)
-        for (values, rows, start, n), asked, reach in zip(self.tables, queries.view("<u2").T, reaches(radius, len(self.tables)), strict=True):
+        for (values, of, rows, start, n), asked, reach in zip(self.tables, queries.view("<u2").T, reaches(radius, len(self.tables)), strict=True):
             if reach < 0:
                 continue
+            if sum(math.comb(16, k) for k in range(reach + 1)) >= len(values):
+                # More ways to flip bits than values: the table is read instead of asked.
+                found |= (np.bitwise_count(asked[:, None] ^ values[None, :]) <= reach)[:, of]
+                continue
             query, value = probed(asked, values, reach)
             row = rows[np.repeat(start[value] - np.cumsum(n[value]) + n[value], n[value]) + np.arange(n[value].sum())]
             found[np.repeat(query, n[value]), row] = True
@@ -116,12 +120,7 @@ class Index:
 
 
 def probed(asked: np.ndarray, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, value): the values of a table within `reach` bits of what each query has there.
-
-    Where there are fewer ways to flip bits than values, each way is looked up in the table; else the table is read.
-    """
-    if sum(math.comb(16, k) for k in range(reach + 1)) >= len(values):
-        return np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= reach)
+    """Pairs (query, value): the values of a table within `reach` bits of what each query has there, each way to flip looked up."""
     flips = np.array([sum(1 << b for b in chosen) for k in range(reach + 1) for chosen in combinations(range(16), k)], np.uint16)
     wanted = asked[:, None] ^ flips[None, :]
     at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
