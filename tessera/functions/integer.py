@@ -78,15 +78,14 @@ def hybrid_bits(d: Dialect, u: str, split: int = 4, msb: int = 2, lsb: int = 0)
 
 
 def smooth_tendency(d: Dialect, b: str, a: str, n: str) -> str:
-    """What the difference of a pair is expected to be, from the pixel before and the averages here and next."""
-    down = d.div(f"4 * {b} - 3 * {n} - {a} + 6", "12")
-    up = d.div(f"4 * {b} - 3 * {n} - {a} - 6", "12")
-    # A tendency is cut to twice the step on either side; its odd part counts for one side each.
-    cut_down = f"case when {down} - ({down} & 1) > 2 * ({b} - {a}) then 2 * ({b} - {a}) + 1 else {down} end"
-    down2 = f"case when ({cut_down}) + (({cut_down}) & 1) > 2 * ({a} - {n}) then 2 * ({a} - {n}) else ({cut_down}) end"
-    cut_up = f"case when {up} + ({up} & 1) < 2 * ({b} - {a}) then 2 * ({b} - {a}) - 1 else {up} end"
-    up2 = f"case when ({cut_up}) - (({cut_up}) & 1) < 2 * ({a} - {n}) then 2 * ({a} - {n}) else ({cut_up}) end"
-    return f"case when {b} >= {a} and {a} >= {n} then {down2} when {b} <= {a} and {a} <= {n} then {up2} else 0 end"
+    """What the difference of a pair is expected to be, from the pixel before and the averages here and next.
+
+    Where these rise or fall throughout: a third of the step before and a quarter of the step after, but no more than keeps
+    the pair between the two, whose first sample takes half of the difference rounded down and the second the rest.
+    """
+    before, after = f"abs({b} - {a})", f"abs({a} - {n})"
+    size = f"least({d.div(f'4 * {before} + 3 * {after} + 6', '12')}, 2 * {before} + 1, 2 * {after})"
+    return f"case when ({b} - {a}) * ({a} - {n}) < 0 then 0 when {b} > {a} or {a} > {n} then {size} else -({size}) end"
 
 
 def squeeze_average(d: Dialect, a: str, b: str) -> str:

@@ -97,14 +97,11 @@ def unsqueezed(avg: np.ndarray, res: np.ndarray) -> np.ndarray:
 
 def _expected(b: int, a: int, n: int) -> int:
     """The same rule as functions.integer.smooth_tendency, for values in hand."""
-    sign = 1 if b >= a >= n else -1 if b <= a <= n else 0
-    b, a, n = sign * b, sign * a, sign * n
-    d = (4 * b - 3 * n - a + 6) // 12 if sign else 0
-    if d - (d & 1) > 2 * (b - a):
-        d = 2 * (b - a) + 1
-    if d + (d & 1) > 2 * (a - n):
-        d = 2 * (a - n)
-    return sign * d
+    if (b - a) * (a - n) < 0:
+        return 0
+    before, after = abs(b - a), abs(a - n)
+    size = min((4 * before + 3 * after + 6) // 12, 2 * before + 1, 2 * after)
+    return size if b > a or a > n else -size
 
 
 def unsqueeze_rows(parts: DataFrame) -> DataFrame:

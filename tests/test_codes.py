@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import entropy
-from tessera.functions.integer import predictors
+from tessera.functions.dialect import PLAIN
+from tessera.functions.integer import predictors, smooth_tendency
 from tessera.operators import codec, compose, lossless, planes
 from tessera.sources import container, netpbm
 from tessera.streaming import animation
@@ -114,22 +115,37 @@ def test_causal_neighbours_at_edges(spark):
 
 
 def test_predictors_are_all_there():
-    from tessera.functions.dialect import PLAIN
-
     assert sorted(predictors(PLAIN)) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13]
 
 
 def tendency(b: int, a: int, n: int) -> int:
-    trunc = lambda x: int(x / 12)
-    if b >= a >= n:
-        d = trunc(4 * b - 3 * n - a + 6)
-        d = 2 * (b - a) + 1 if d - (d & 1) > 2 * (b - a) else d
-        return 2 * (a - n) if d + (d & 1) > 2 * (a - n) else d
-    if b <= a <= n:
-        d = trunc(4 * b - 3 * n - a - 6)
-        d = 2 * (b - a) - 1 if d + (d & 1) < 2 * (b - a) else d
-        return 2 * (a - n) if d - (d & 1) < 2 * (a - n) else d
-    return 0
+    """By search, for neighbours that rise or fall throughout: of the differences up to the rounded twelfth, the largest
+    that keeps the pair between what comes before and after it, whose mean (rounded down) is a."""
+    if not (b >= a >= n or b <= a <= n):
+        return 0
+    sign = 1 if b > n else -1
+    rise, fall = abs(b - a), abs(a - n)
+    wanted = round((4 * rise + 3 * fall) / 12 + 1e-9)
+    fits = [d for d in range(wanted + 1) if d // 2 <= rise and d - d // 2 <= fall]
+    return sign * max(fits) if b != a or n != a else 0
+
+
+@pytest.mark.parametrize(("b", "a", "n", "want"), [(10, 10, 10, 0), (20, 10, 0, 6), (0, 10, 20, -6), (10, 10, 0, 1), (30, 10, 9, 2), (5, 9, 3, 0), (100, 0, -100, 58), (9, 8, 0, 2)])
+def test_golden_tendencies(b, a, n, want):
+    import duckdb
+
+    assert tendency(b, a, n) == want
+    assert duckdb.sql(f"select {smooth_tendency(PLAIN, f'({b})', f'({a})', f'({n})')}").fetchall()[0][0] == want
+
+
+def test_tendencies_agree_with_the_search():
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [tuple(rng.randint(-40, 40) for _ in range(3)) for _ in range(2000)]
+    values = ", ".join(f"({k}, {b}, {a}, {n})" for k, (b, a, n) in enumerate(rows))
+    got = duckdb.sql(f"select {smooth_tendency(PLAIN, 'b', 'a', 'n')} from (values {values}) as t(k, b, a, n) order by k").fetchall()
+    assert [r[0] for r in got] == [tendency(*r) for r in rows]
 
 
 @pytest.mark.parametrize("shape", [(4, 7), (5, 6), (1, 1), (3, 2)])
@@ -156,9 +172,9 @@ def test_squeeze_can_be_undone(spark, shape):
 
 
 def test_latest_patch_wins_and_uncovered_stays(spark):
-    canvas = spark.range(16).selectExpr("id div 4 as y", "id % 4 as x", "0 as b")
-    source = spark.range(16).selectExpr("id div 4 as sy", "id % 4 as sx", "cast(id as int) as f")
-    patches = spark.createDataFrame([(1, 0, 0, 2, 2, 0, 0), (2, 2, 2, 2, 2, 1, 1)], "n int, sx0 int, sy0 int, w int, h int, x int, y int")
+    canvas = spark.range(16).selectExpr("0 as img", "id div 4 as y", "id % 4 as x", "0 as b")
+    source = spark.range(16).selectExpr("0 as img", "id div 4 as sy", "id % 4 as sx", "cast(id as int) as f")
+    patches = spark.createDataFrame([(0, 1, 0, 0, 2, 2, 0, 0), (0, 2, 2, 2, 2, 2, 1, 1)], "img int, n int, sx0 int, sy0 int, w int, h int, x int, y int")
     got = {(r.y, r.x): r.v for r in compose.blit(canvas, source, patches).collect()}
     assert got[0, 0] == 0 and got[0, 1] == 1 and got[1, 0] == 4 and got[1, 1] == 10 and got[2, 2] == 15 and got[3, 3] == 0
 
