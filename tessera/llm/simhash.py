@@ -162,9 +162,8 @@ def first_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, similar
     """One document of each component: the one with the smallest doc_id, or one of them where rows repeat.
 
     Links are fingerprints within the radius, or, with `similarity` (a fraction), sets of shingles whose Jaccard
-    similarity is that or more. Sets at 0.8 have fingerprints up to 11 bits and more apart. Pigeonhole blocks for so
-    many differing bits would have 5 bits each, and every fingerprint shares such a block with most others, so those
-    links come from `nearsets`, where sets meet by shingles instead of by parts of a fingerprint.
+    similarity is that or more. Then fingerprints within the radius are checked by that similarity, and `nearsets` adds
+    the links that lie beyond: sets at 0.8 have fingerprints up to 11 bits and more apart.
     """
     if similarity:
         from . import nearsets
