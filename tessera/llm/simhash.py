@@ -75,8 +75,9 @@ def _keys(blocks: int, radius: int) -> Column:
     return F.explode(F.array(*keys))
 
 
-def links(prints: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of different `fp` at `radius` bits or fewer.
+def close(prints: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different `fp` at `radius` bits or fewer that share a key with a crowd or fewer, and, for those that share
+    a crowded key, each word with the fps (65 at most) that are one bit away or fewer. Every pair at `radius` bits is in either.
 
     prints: a fixed table with a column fp, each value once.
     """
@@ -97,11 +98,24 @@ def links(prints: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, crowd:
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k) for k in range(64)))
     words = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
     met = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("fps")).where("n > 1")  # 65 at most
+    return twos.unionByName(pairs), met
+
+
+def links(prints: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of different `fp` at `radius` bits or fewer.
+
+    prints: a fixed table with a column fp, each value once.
+    """
+    return linked(*close(prints, blocks, radius, crowd), radius)
+
+
+def linked(pairs: DataFrame, met: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """links() from what close() found."""
     if radius == 1:
         met = met.where(F.array_contains("fps", F.col("word"))).select(F.col("word").alias("a"), F.explode("fps").alias("b"))
     else:
         met = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    return twos.unionByName(pairs).unionByName(met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return pairs.unionByName(met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
